@@ -37,6 +37,14 @@ def op4_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.quality import quality_verdicts
+
+    out = quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 @query
 def op10_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
