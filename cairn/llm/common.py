@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The space and the control characters that part words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,3 +52,9 @@ def dropped(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """df, marked for broadcast if it has at most most_rows (narrow) rows; else as it is,
+    so that the join exchanges both sides.  df is read once to count: give a stored one."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -7,14 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import table
+from cairn.llm.common import scratch, table
+
+#: Target weights of the labelled domains, and expected tokens per token of the input.
+MIX, GROWTH = {"good": 0.83, "low": 0.13, "toxic": 0.04}, 1.05
+#: Rows of an Arrow batch: texts may be long.
+ARROW_ROWS = "2000"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
     return f
 
 
@@ -52,3 +61,67 @@ def op10_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.sentencepieces import digests, encode_decode
 
     return digests(encode_decode(table(spark, sf_dir, "documents"), path("piece_bpe_32k.model")))
+
+
+@query
+def op1_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.mixing import mixing_rates
+
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX, GROWTH)
+
+
+@query
+def op2_string_kernel_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.langid import languages
+
+    return languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.warc import read_warc, write_warc
+
+    path = scratch(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    number = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1).try_cast("bigint")
+    return read_warc(spark, path).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+ORACLES["op3_warc_round_trip"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, unhex(sha1(html))::BIT::VARCHAR AS bits, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    list_sum(list_transform(range(0, 5), j -> substr(bits, i * 5 + j + 1, 1)::INT * (16 >> j::INT)))::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id != first THEN first END AS refers_to
+FROM d
+"""
+
+
+@query
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.substrings import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_jaccard_join"] = r"""
+WITH RECURSIVE
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id != b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+r(id, at) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, l.v FROM r JOIN l ON l.u = r.at)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.at) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
