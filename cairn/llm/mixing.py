@@ -151,27 +151,39 @@ def _moved(w: Column, steps: list[np.ndarray]) -> Column:
     return w
 
 
-def fitted_rates(rows: DataFrame, targets: dict[str, float], growth: float = 1.0, most_steps: int = 64, tolerance: float = 1e-6) -> DataFrame:
+def fitted_rates(rows: DataFrame, targets: dict[str, float], growth: float = 1.0, most_steps: int = 64, tolerance: float = 1e-4) -> DataFrame:
     """(id, n_tokens, p, rate) from (id, n_tokens, p): rates whose expected domain tokens
-    match growth * (all tokens) * targets / sum(targets)."""
+    match growth * (all tokens) * targets / sum(targets), to `tolerance` of all tokens.
+
+    A step is scaled by the matrix of the rows with a rate above 0, for the others do not
+    move; one that makes the residual larger is taken back for the safe one, which is
+    scaled by the matrix of all rows."""
     k = len(DOMAINS)
-    now, steps = stored(rows.withColumn("w", F.lit(1.0)), "rates"), []
-    sums = now.agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("n_tokens") * F.get("p", i) * F.get("p", j)).alias(f"h{i}{j}") for i in range(k) for j in range(i, k)]).first()
-    n = sums["n"] or 0
-    if n:
-        h = np.array([[sums[f"h{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)]) / n
-        inverse = np.linalg.pinv(h, rcond=1e-9)
-        want = np.array([targets[d] for d in DOMAINS], float)
-        want = growth * want / want.sum()
-        for _ in range(most_steps):
-            w = _moved(F.col("w"), steps)
-            got = now.select("n_tokens", "p", w.alias("w")).agg(*[F.sum(F.col("w") * F.col("n_tokens") * F.get("p", i)) for i in range(k)]).first()
-            residual = want - np.array(got, float) / n
-            if np.abs(residual).sum() < tolerance:
-                break
-            steps.append(inverse @ residual)
-            if len(steps) == STRIDE:
-                now, steps = stored(now.withColumn("w", _moved(F.col("w"), steps)), "rates"), []
+    now, steps, trial, before = stored(rows.withColumn("w", F.lit(1.0)), "rates"), [], None, None
+    want = np.array([targets[d] for d in DOMAINS], float)
+    want, every, safe = growth * want / want.sum(), None, True
+    for _ in range(most_steps):
+        w = _moved(F.col("w"), [*steps, trial] if trial is not None else steps)
+        n = F.col("n_tokens")
+        sums = [F.sum(n).alias("n"), *[F.sum(F.col("w") * n * F.get("p", i)).alias(f"s{i}") for i in range(k)]]
+        sums += [F.sum(F.when(F.col("w") > 0, n * F.get("p", i) * F.get("p", j)).otherwise(0.0)).alias(f"h{i}{j}") for i in range(k) for j in range(i, k)]
+        got = now.select("n_tokens", "p", w.alias("w")).agg(*sums).first()
+        if not got["n"]:
+            break
+        residual = want - np.array([got[f"s{i}"] for i in range(k)]) / got["n"]
+        scale = np.array([[got[f"h{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)]) / got["n"]
+        every = scale if every is None else every
+        inverse = np.linalg.pinv(every, rcond=1e-9)
+        if trial is not None and not safe and residual @ inverse @ residual > before @ inverse @ before:
+            trial, safe = inverse @ before, True
+            continue
+        steps, before = [*steps, trial] if trial is not None else steps, residual
+        if len(steps) == STRIDE:
+            now, steps = stored(now.withColumn("w", _moved(F.col("w"), steps)), "rates"), []
+        trial = None
+        if np.abs(residual).sum() < tolerance:
+            break
+        trial, safe = np.linalg.pinv(scale, rcond=1e-9) @ residual, False
     return now.select("id", "n_tokens", "p", _moved(F.col("w"), steps).alias("rate"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import scratch, table
 
 #: Target weights of the labelled domains, and expected tokens per token of the input.
-MIX, GROWTH = {"good": 0.83, "low": 0.13, "toxic": 0.04}, 1.05
+MIX, GROWTH = {"good": 0.80, "low": 0.14, "toxic": 0.06}, 1.05
 #: Rows of an Arrow batch: texts may be long.
 ARROW_ROWS = "2000"
 
@@ -91,8 +91,8 @@ ORACLES["op3_warc_round_trip"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, unhex(sha1(html))::BIT::VARCHAR AS bits, min(page_id) OVER (PARTITION BY html) AS first FROM p)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
-  array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-    list_sum(list_transform(range(0, 5), j -> substr(bits, i * 5 + j + 1, 1)::INT * (16 >> j::INT)))::INT + 1, 1)), '') AS payload_digest,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    list_sum(list_transform(range(0, 5), lambda j: substr(bits, i * 5 + j + 1, 1)::INT * (16 >> j::INT)))::INT + 1, 1)), '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id != first THEN first END AS refers_to
 FROM d
@@ -110,12 +110,12 @@ ORACLES["op9_jaccard_join"] = r"""
 WITH RECURSIVE
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-      ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id != b.doc_id GROUP BY ALL),
 l AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
-r(id, at) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, l.v FROM r JOIN l ON l.u = r.at)
-SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.at) AS component_id
+r(id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, l.v FROM r JOIN l ON l.u = r.reached)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.reached) AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.id = d.doc_id GROUP BY d.doc_id
 """
 
@@ -125,3 +125,22 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.chroma import aligned_recordings, rendered
+
+    return aligned_recordings(rendered(table(spark, sf_dir, "embeddings")), "vec_id")
+
+
+@query
+def op6_packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN, path
+
+    from cairn.llm.packing import packed, unpacked, write_packed
+
+    place = scratch(spark, "packs")
+    write_packed(packed(table(spark, sf_dir, "documents"), path("byte_bpe_50k.tiktoken"), PATTERN), place)
+    rows = unpacked(spark.read.parquet(place))
+    return rows.select("doc_id", "piece", "n_pieces", "pack_id", "first", "n_tokens", F.crc32("ids").alias("ids_crc32"))
