@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import stored
-from cairn.llm.shingles import distinct, hashed_words, slices
+from cairn.llm.shingles import distinct, word_slices
 
 DOMAINS = ("good", "low", "toxic")
 BITS = 16
@@ -49,25 +49,46 @@ def labelled(labels: DataFrame, most: int) -> DataFrame:
     return one.select(F.col("doc_id").alias("label_id"), domain.alias("domain"), F.pmod(F.shiftright(h, 40), F.lit(2)).alias("half"), h.alias("h")).orderBy("h", "label_id").limit(most).drop("h")
 
 
-def _features(words: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """(keep columns, n_tokens, x array<float>) from (..., words last)."""
-    names = words.columns[:-1]
+def _buckets(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of each row's words, and their offsets."""
+    return distinct(flat & np.uint64((1 << BITS) - 1), offsets)
+
+
+def _listed(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(other columns, b array<int>): the distinct buckets of the last column's words."""
+    names = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for rows, offsets, flat in slices(whole, len(names), 1 << 19):
-                x = features(flat, offsets, ratios)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.astype(np.float32).ravel()))
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(np.diff(offsets)), lists], names=[*names, "n_tokens", "x"])
+            for part, offsets, flat in word_slices(whole, len(names)):
+                b, at = _buckets(flat, offsets)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _listed(b.astype(np.int32), at)], names=[*names, "b"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema.fields[:-1])
-    return words.mapInArrow(run, f"{kinds}, n_tokens bigint, x array<float>")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{kinds}, b array<int>")
 
 
-def features(flat: np.ndarray, offsets: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+def _scored(text: DataFrame, ratios: np.ndarray) -> DataFrame:
+    """(id, n_tokens, x array<float>) from (id, text)."""
+    kind = text.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part, offsets, flat in word_slices(whole, 1):
+                x = features(*_buckets(flat, offsets), ratios)
+                lists = _listed(x.astype(np.float32).ravel(), np.arange(len(x) + 1) * x.shape[1])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), lists], names=["id", "n_tokens", "x"])
+
+    return text.mapInArrow(run, f"id {kind}, n_tokens bigint, x array<float>")
+
+
+def features(bucket: np.ndarray, at: np.ndarray, ratios: np.ndarray) -> np.ndarray:
     """Rows by 2K: the mean log ratio of the distinct words, and the log of what the telling
     ones exceed TELLING by."""
-    bucket, at = distinct(flat & np.uint64((1 << BITS) - 1), offsets)
     n, k = len(at) - 1, ratios.shape[1]
     out = np.zeros((n, 2 * k))
     size = np.diff(at)
@@ -100,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int) -> Model | None:
     """One half of the labelled sample counts words, the other fits the regression."""
     k = len(DOMAINS)
     rows = docs.join(F.broadcast(labelled(labels, most)), F.col("id") == F.col("label_id"))
-    rows = stored(rows.select("id", "domain", "half", F.array_distinct(F.transform(hashed_words(F.col("text")), lambda h: h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))).alias("b")), "labelled")
+    rows = stored(_counted(rows.select("id", "domain", "half", F.col("text").cast("string"))), "labelled")
     size = np.zeros((2, k))
     for r in rows.groupBy("half", "domain").count().collect():
         size[r["half"], r["domain"]] = r["count"]
@@ -117,8 +138,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int) -> Model | None:
         share = own / total
         if 0 < own < total:
             ratios[:, i] = np.log((counts[:, i] + 4 * share) / (own + 8 * share)) - np.log((all_ - counts[:, i] + 4 * (1 - share)) / (total - own + 8 * (1 - share)))
-    half = rows.where("half = 1").select("domain", F.transform("b", lambda x: x.cast("long")).alias("words"))
-    got = _features(half, ratios).select("domain", "x").collect()  # at most `most` rows of 2K numbers
+    table = ratios
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            lists = part.column(1)
+            x = features(lists.values.to_numpy().astype(np.uint64), lists.offsets.to_numpy().astype(np.int64), table)
+            yield pa.RecordBatch.from_arrays([part.column(0), _listed(x.ravel(), np.arange(len(x) + 1) * x.shape[1])], names=["domain", "x"])
+
+    got = rows.where("half = 1").select("domain", "b").mapInArrow(measure, "domain int, x array<double>").collect()  # at most `most` rows of 2K numbers
     x, y = np.array([r["x"] for r in got], float), np.array([r["domain"] for r in got])
     order = np.lexsort((*x.T, y))  # sums do not depend on the order in which rows arrive
     return Model(ratios, *regression(x[order], y[order], k))
@@ -128,11 +156,10 @@ def posteriors(docs: DataFrame, labels: DataFrame, most: int = 40_000) -> DataFr
     """(id, n_tokens, p array<double>) over DOMAINS from docs (id, text); uniform where
     there is nothing to learn from."""
     model = fit(docs, labels, most)
-    words = docs.select("id", hashed_words(F.col("text")).alias("words"))
-    k = len(DOMAINS)
+    text, k = docs.select("id", F.col("text").cast("string")), len(DOMAINS)
     if model is None:
-        return words.select("id", F.size("words").cast("long").alias("n_tokens"), F.array(*[F.lit(1.0 / k)] * k).alias("p"))
-    x = _features(words, model.ratios)
+        return _scored(text, np.zeros((1 << BITS, k))).select("id", "n_tokens", F.array(*[F.lit(1.0 / k)] * k).alias("p"))
+    x = _scored(text, model.ratios)
     logits = []
     for i in range(k):
         parts = [(F.get("x", j).cast("double") - float(model.mean[j])) * float(model.weights[j, i] / model.scale[j]) for j in range(2 * k)]

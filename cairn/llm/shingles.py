@@ -1,4 +1,4 @@
-"""Word shingles in tasks: hashed in the JVM, combined by numpy over Arrow batches."""
+"""Word shingles in tasks: numpy over the bytes of Arrow string batches."""
 
 from __future__ import annotations
 
@@ -6,22 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import pyarrow.compute as pc
 
-from cairn.llm.common import BLANKS
-
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Words of a row above which it makes a slice of its own.
-SLICE_WORDS = 1 << 20
-
-
-def hashed_words(text: Column, lower: bool = True) -> Column:
-    """64-bit hashes of a text's words, in order; none for a null or blank text."""
-    text = F.trim(F.coalesce(text.cast("string"), F.lit("")), F.lit(BLANKS))
-    text = F.translate(text, UPPER, UPPER.lower()) if lower else text
-    words = F.split(text, "[\\x20\\x09-\\x0D]+")
-    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.transform(words, lambda w: F.xxhash64(w)))
+#: The bytes that part words.
+BLANK_BYTES = [0x20, *range(0x09, 0x0E)]
+#: Bytes of text that are hashed at a time; a longer text makes a slice of its own.
+SLICE_BYTES = 1 << 20
 
 
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -33,17 +23,68 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_WORDS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, offsets from 0, flat uint64 values) of an array<long> column, a bounded number
-    of values at a time (a longer row stands alone)."""
-    lists = batch.column(column)
-    offsets = lists.offsets.to_numpy().astype(np.int64)
+_BASE = 0x9E3779B97F4A7C15
+_BLANK = np.zeros(256, bool)
+_BLANK[BLANK_BYTES] = True
+_EXACT = mixed(np.arange(256, dtype=np.uint64), 31)
+_LOWER = _EXACT.copy()
+_LOWER[ord("A") : ord("Z") + 1] = _EXACT[ord("a") : ord("z") + 1]
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse modulo 2^64, n of them at least."""
+    size = max(SLICE_BYTES, 1 << int(n).bit_length())
+    if size not in _powers:
+        made = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            made.append(np.multiply.accumulate(x))
+        if size > SLICE_BYTES:
+            return made[0], made[1]  # of a very long text; not kept
+        _powers[size] = (made[0], made[1])
+    return _powers[size]
+
+
+def hash_words(data: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the words of UTF-8 texts, offsets of each text's words).
+
+    data holds the bytes of all texts, ends where each ends.  A word's hash is the
+    polynomial of its bytes' random values, from running sums over all of them, mixed."""
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    n = len(data)
+    if not n:
+        return np.empty(0, np.uint64), np.zeros(len(ends) + 1, np.int64)
+    power, inverse = powers(n)
+    blank = _BLANK[data]
+    before, after = np.ones(n, bool), np.ones(n, bool)
+    before[1:], after[:-1] = blank[:-1], blank[1:]
+    before[starts[starts < n]] = True
+    after[starts[(starts > 0) & (starts <= n)] - 1] = True
+    first, last = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
+    sums = np.zeros(n + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((_LOWER if lower else _EXACT)[data] * power[:n], out=sums[1:])
+        h = (sums[last] - sums[first]) * inverse[first]
+    return mixed(h ^ mixed((last - first).astype(np.uint64), 5), 6), np.searchsorted(first, np.concatenate([starts, [n]]), "left")
+
+
+def word_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES, lower: bool = True) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, offsets from 0, word hashes) of a string column, a bounded number of bytes at a
+    time.  A null text has no words.  lower: words are compared after lower-casing A-Z."""
+    text = batch.column(column)
+    if text.null_count:
+        text = pc.fill_null(text, "")
+    _, places, data = text.buffers()
+    kind = np.int64 if pa.types.is_large_string(text.type) else np.int32
+    ends = np.frombuffer(places, kind)[text.offset : text.offset + len(text) + 1].astype(np.int64) if len(text) else np.zeros(1, np.int64)
+    flat = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     at = 0
     while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
-        end = min(end, batch.num_rows)
-        flat = lists.values.slice(offsets[at], offsets[end] - offsets[at]).to_numpy(zero_copy_only=False).view(np.uint64)
-        yield batch.slice(at, end - at), offsets[at : end + 1] - offsets[at], flat
+        end = min(batch.num_rows, max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1))
+        hashes, offsets = hash_words(flat[ends[at] : ends[end]], ends[at + 1 : end + 1] - ends[at], lower)
+        yield batch.slice(at, end - at), offsets, hashes
         at = end
 
 
