@@ -29,7 +29,7 @@ def contracted(points: DataFrame) -> DataFrame:
     rows = rows.withColumn("part", F.coalesce(F.sum(cut.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("cut", cut)
     # A cut node stands in both parts that it joins.
     parts = F.when(c("cut"), F.array(c("part"), c("part") + 1)).otherwise(F.array("part"))
-    return rows.select("way_id", F.explode(parts).cast("int").alias("part"), "pos", "node", "lon", "lat")
+    return rows.select("way_id", F.explode(parts).alias("part"), "pos", "node", "lon", "lat").withColumn("part", F.col("part").cast("int"))
 
 
 def conflated(segments: DataFrame, size: float, tolerance_m: float = 8.0, least_cosine: float = 0.94) -> tuple[DataFrame, DataFrame]:

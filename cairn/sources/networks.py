@@ -14,7 +14,7 @@ def features(spark: SparkSession, path: str) -> DataFrame:
     """(path, pos, p map<string,string>, kind, coordinates): features of FeatureCollections,
     in the file's order.  Values of p that are no strings are their JSON text."""
     schema = "type string, features array<struct<id:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", schema).alias("j"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", schema).alias("j"))
     rows = files.select("path", F.posexplode("j.features").alias("pos", "f"))
     return rows.select("path", "pos", F.col("f.id").alias("id"), F.coalesce("f.properties", F.create_map().cast("map<string,string>")).alias("p"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
 
@@ -30,7 +30,8 @@ def truth(text: Column) -> Column:
 
 
 def _unit(text: Column) -> Column:
-    return F.least(F.greatest(text.try_cast("double"), F.lit(0.0)), F.lit(1.0))
+    x = text.try_cast("double")
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
 
 
 def _lines() -> Column:
@@ -153,7 +154,7 @@ def read_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, floa
     lines = spark.read.text(path).select(F.trim("value").alias("v"), F.col("_metadata.file_block_start").alias("b")).where("v != ''")
     head = {r["k"]: float(r["x"]) for r in lines.where(F.col("v").rlike("^[A-Za-z]")).select(F.lower(F.split_part("v", F.lit(" "), F.lit(1))).alias("k"), F.element_at(F.split("v", r"\s+"), -1).alias("x")).collect()}
     head.setdefault("nodata_value", -9999.0)
-    body = spark.read.option("wholetext", True).text(path).select(F.split(F.trim("value"), r"\r?\n").alias("l"))
+    body = spark.read.text(path, wholetext=True).select(F.split(F.trim("value"), r"\r?\n").alias("l"))
     rows = body.select(F.posexplode(F.filter("l", lambda s: ~s.rlike(r"^\s*[A-Za-z]") & (F.trim(s) != ""))).alias("row", "s"))
     cells = rows.select("row", F.posexplode(F.split(F.trim("s"), r"\s+")).alias("col", "t")).select("row", "col", F.col("t").cast("double").alias("z"))
     return cells.withColumn("z", F.when(F.col("z") != head["nodata_value"], F.col("z"))), head

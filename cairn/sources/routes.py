@@ -14,7 +14,7 @@ CONTAINERS = ["points", "coordinates", "track", "route", "segments", "trackpoint
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def _points(df: DataFrame, *keep: str) -> DataFrame:
