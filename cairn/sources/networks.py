@@ -80,8 +80,8 @@ def _rings() -> Column:
 
 def _overlay(rows: DataFrame, *columns: Column) -> DataFrame:
     ring = F.col("kind").isin("Polygon", "MultiPolygon").alias("is_ring")
-    out = rows.select("path", "pos", *columns, F.coalesce(_said("tolerance_m").try_cast("double"), F.lit(20.0)).alias("tolerance_m"), ring, F.posexplode(_rings()).alias("part", "geometry"))
-    return out.withColumn("geometry", _points(F.col("geometry")))
+    out = rows.select("path", "pos", *columns, F.coalesce(_said("tolerance_m").try_cast("double"), F.lit(20.0)).alias("tolerance_m"), ring, _rings().alias("rings"))
+    return out.select("*", F.posexplode("rings").alias("part", "geometry")).drop("rings").withColumn("geometry", _points(F.col("geometry")))
 
 
 # Properties that tell whether a permit is needed.
