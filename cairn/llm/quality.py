@@ -121,7 +121,7 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int, max_trusted: int,
     return table.select(F.transform("c", ratio).alias("weights"))
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, max_trusted: int = 20_000, prior: float = 10.0, threshold: float = -0.05) -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, max_trusted: int = 20_000, prior: float = 10.0, threshold: float = -0.06) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     score, kept), a row per row of docs.
 
