@@ -93,8 +93,9 @@ class Scanner:
         self.data, self.at, self.head, self.found = b"", 0, [], False
         self.inflate, self.out, self.raw = None, [], []
 
-    def valid(self, at: int, more: bool) -> bool | None:
-        """Whether a member with a WARC header (or nothing) starts here; None: can't tell yet."""
+    def valid(self, at: int) -> bool | None:
+        """Whether a member with a WARC header (or nothing) starts here; None: can't tell
+        without the bytes that follow, which may be the next range's."""
         part = self.data[at : at + PROBE]
         z = zlib.decompressobj(31)
         try:
@@ -103,11 +104,9 @@ class Scanner:
             return False
         if got[:5] == b"WARC/" or z.eof and not got:
             return True
-        if more and len(part) < PROBE and b"WARC/".startswith(got[:5]):
-            return None
-        return False
+        return None if len(part) < PROBE and not z.eof and b"WARC/".startswith(got[:5]) else False
 
-    def feed(self, data: bytes, last: bool = False) -> Iterator[bytes]:
+    def feed(self, data: bytes) -> Iterator[bytes]:
         self.data, self.at = self.data[self.at :] + data, 0
         while True:
             if self.inflate:
@@ -125,7 +124,7 @@ class Scanner:
                     yield whole
                 continue
             i = self.data.find(MAGIC, self.at)
-            ok = None if i < 0 else self.valid(i, not last)
+            ok = None if i < 0 else self.valid(i)
             if ok is None:
                 # Nothing, or a candidate that needs more bytes than there are yet.
                 end = i if i >= 0 else max(self.at, len(self.data) - 2)
@@ -165,11 +164,10 @@ def _scan(lines: DataFrame) -> DataFrame:
             ends = [pa.concat_arrays([pa.nulls(n, k), pa.array([p[i] for p in pieces], k)]) for i, k in enumerate((pa.string(), pa.int64(), pa.int32(), pa.binary()))]
             return pa.RecordBatch.from_arrays([*cols, *ends], names=[*NAMES, "path", "start", "part", "bytes"])
 
-        def closed() -> tuple[list, list]:
-            rows = list(scanner.feed(b"", last=True))
+        def closed() -> list[tuple]:
             if not scanner.found:
-                return rows, [(*key, 0, b"".join(scanner.head) + scanner.tail())]
-            return rows, [(*key, 0, b"".join(scanner.head)), (*key, 1, scanner.tail())]
+                return [(*key, 0, b"".join(scanner.head) + scanner.tail())]
+            return [(*key, 0, b"".join(scanner.head)), (*key, 1, scanner.tail())]
 
         for b in batches:
             values, paths, starts = b.column(0), b.column(1).to_pylist(), b.column(2).to_numpy()
@@ -179,16 +177,14 @@ def _scan(lines: DataFrame) -> DataFrame:
                     continue
                 if key != (now := (paths[lo], int(starts[lo]))):
                     if key:
-                        rows, pieces = closed()
-                        yield batch([r for r in map(parsed, rows) if r], pieces)
+                        yield batch([], closed())
                     key, scanner = now, Scanner()
                 data = b"\n".join(values.slice(lo, hi - lo).to_pylist()) + b"\n"
                 done = [r for r in map(parsed, scanner.feed(data)) if r]
                 if done:
                     yield batch(done, [])
         if key:
-            rows, pieces = closed()
-            yield batch([r for r in map(parsed, rows) if r], pieces)
+            yield batch([], closed())
 
     return lines.mapInArrow(run, f"{RECORD}, path string, start bigint, part int, bytes binary")
 
@@ -204,7 +200,7 @@ def _stitched(pieces: DataFrame) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("start", "ascending"), ("part", "ascending")])
         scanner = Scanner()
-        found = list(scanner.feed(b"".join(group.column("bytes").to_pylist()), last=True))
+        found = list(scanner.feed(b"".join(group.column("bytes").to_pylist())))
         if scanner.inflate:
             raise ValueError("an archive ends inside a record")
         return pa.Table.from_arrays(_columns([r for r in map(parsed, found) if r]), names=NAMES)
