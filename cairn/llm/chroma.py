@@ -134,8 +134,8 @@ def aligned_recordings(recordings: DataFrame, id_col: str, audio_col: str = "aud
     is divisible by `every`, searched for in all rows.  matches stands at the row that is
     its class's smallest id, where the class holds a query, and is null elsewhere: the
     other classes that the class aligns with, in order of class_id.  offset is the
-    match's window less the query's; of several offsets with equally many hits, the one
-    nearest 0 (then the smaller).  A match has at least least_hits equal integers at that
+    match's window less the query's; of several offsets that match, the one with most hits,
+    of equally many the one nearest 0 (then the smaller).  A match has at least least_hits equal integers at that
     offset, least_overlap windows of overlap, and a share of differing bits of at most
     most_errors.
 
@@ -159,10 +159,9 @@ def aligned_recordings(recordings: DataFrame, id_col: str, audio_col: str = "aud
     both = a.join(b, "code").where("q != m")
     offsets = F.flatten(F.transform("ma", lambda y: F.transform("qa", lambda x: y - x)))
     hits = both.select("q", "m", F.explode(offsets).alias("offset")).groupBy("q", "m", "offset").count().where(F.col("count") >= least_hits)
-    best = hits.groupBy("q", "m").agg(F.min(F.struct((-F.col("count")).alias("c"), F.abs("offset").alias("d"), F.col("offset").alias("offset"))).alias("b")).select("q", "m", "b.offset")
     x = reps.select(F.col("class_id").alias("q"), F.col("fingerprint").alias("fq"))
     y = reps.select(F.col("class_id").alias("m"), F.col("fingerprint").alias("fm"))
-    pairs = best.join(x, "q").join(y, "m")
+    pairs = hits.join(x, "q").join(y, "m")
     start, shift = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
     overlap = F.least(F.size("fq") - start, F.size("fm") - shift)
     pairs = pairs.withColumn("overlap", overlap).where(F.col("overlap") >= least_overlap)
@@ -170,6 +169,9 @@ def aligned_recordings(recordings: DataFrame, id_col: str, audio_col: str = "aud
     # bit_count() of a negative int counts its 64-bit sign extension: 32 bits too many.
     wrong = F.aggregate(F.transform(bits, lambda n: F.when(n > 32, n - 32).otherwise(n)), F.lit(0), lambda s, n: s + n)
     pairs = pairs.withColumn("error_rate", wrong / (F.col("overlap") * 32.0)).where(F.col("error_rate") <= most_errors)
+    # The best of the offsets that pass.
+    order = F.struct((-F.col("count")).alias("c"), F.abs("offset").alias("d"), "offset", "overlap", "error_rate")
+    pairs = pairs.groupBy("q", "m").agg(F.min(order).alias("b")).select("q", "m", "b.offset", "b.overlap", "b.error_rate")
     found = pairs.groupBy("q").agg(F.array_sort(F.collect_list(F.struct(F.col("m").alias("class_id"), "offset", "overlap", "error_rate"))).alias("matches"))
     rows = prints.join(classes, "key", "left").withColumn("class_id", F.when(F.col("id").isNotNull() & (F.size("fingerprint") > 0), F.col("class_id")))
     owner = F.when((F.col("id") == F.col("class_id")) & (F.col("query") == 1), F.col("id"))
