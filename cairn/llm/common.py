@@ -12,6 +12,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened where df has a column of that name (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,7 +65,19 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
-    """df, marked for broadcast if it has at most most_rows (narrow) rows; else as it is,
-    so that the join exchanges both sides.  df is read once to count: give a stored one."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a stored() table."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        total += path.getFileSystem(conf).getContentSummary(path).getLength()
+    return total
+
+
+def small(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """A stored() table, marked for broadcast if its files have at most most_bytes; else as
+    it is, so that the join exchanges both sides.  The bound is one of bytes, and does not
+    grow with the data."""
+    return F.broadcast(df) if stored_bytes(df) <= most_bytes else df
