@@ -5,6 +5,8 @@ moves the frontier only, and a search ends when nothing improves."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +23,11 @@ def directed(edges: DataFrame, aversion: float = 0.0) -> DataFrame:
     return legal.select("edge_id", "m", cost, F.coalesce("travel", F.lit("both")).alias("travel"), ways.alias("w")).where(F.col("travel") != F.col("w.no")).select("edge_id", "w.from_v", "w.to_v", "m", "cost")
 
 
-def turns(ways: DataFrame, bans: DataFrame) -> DataFrame:
-    """(from_edge, via_v, to_edge): pairs of ways that may follow each other: not back over
-    the same edge, and not banned (from_edge, via_v, to_edge)."""
+def turns(ways: DataFrame) -> DataFrame:
+    """(from_edge, via_v, to_edge): pairs of different ways that can follow each other."""
     a = ways.select(F.col("edge_id").alias("from_edge"), F.col("to_v").alias("via_v"))
     b = ways.select(F.col("from_v").alias("via_v"), F.col("edge_id").alias("to_edge"))
-    return a.join(b, "via_v").where("from_edge != to_edge").select("from_edge", "via_v", "to_edge").join(bans, ["from_edge", "via_v", "to_edge"], "left_anti")
+    return a.join(b, "via_v").where("from_edge != to_edge").select("from_edge", "via_v", "to_edge")
 
 
 def legal_legs(legs: DataFrame, bans: DataFrame) -> DataFrame:
@@ -37,41 +38,85 @@ def legal_legs(legs: DataFrame, bans: DataFrame) -> DataFrame:
     return rows.join(banned, ["from_edge", "from_v", "edge_id"], "left_anti").drop("from_edge")
 
 
-def distances(ways: DataFrame, sources: DataFrame, most: float | None = None) -> DataFrame:
-    """(source, v, dist, hops, via): the least cost from each source (source, v), at most
-    `most`; of equal costs the fewest hops, then the smallest edge.
-
-    Bellman-Ford by frontier: a round joins what improved with the ways that leave it."""
-    best = F.min(F.struct("dist", "hops", "via")).alias("p")
-    known = stored(sources.select("source", "v", F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("via")), "known")
-    front = known
+STATE = ["source", "v", "last"]
+
+
+def steps(ways: DataFrame, bans: DataFrame | None = None) -> DataFrame:
+    """(last_in, from_v, to_v, edge_id, m, cost, last): the ways that a search may take from
+    a state, written once for all its rounds.
+
+    A state is a vertex and, only where a ban (from_edge, via_v, to_edge) asks for it, the
+    edge by which it was reached: all other arrivals at a vertex go on alike, so that bans
+    add as many states as they name and no more.  Going back over an edge is a turn like
+    any other."""
+    w = ways.select("from_v", "to_v", F.col("edge_id").cast("bigint").alias("edge_id"), "m", "cost")
+    none = F.lit(None).cast("bigint")
+    if bans is None:
+        return stored(w.select(none.alias("last_in"), "*", none.alias("last")), "steps")
+    bans = bans.select(*[F.col(c).cast("bigint").alias(c) for c in ("from_edge", "via_v", "to_edge")]).distinct()
+    marks = bans.select(F.col("from_edge").alias("edge_id"), F.col("via_v").alias("to_v"), F.col("from_edge").alias("last")).distinct()
+    w = stored(w.join(marks, ["edge_id", "to_v"], "left").select("from_v", "to_v", "edge_id", "m", "cost", "last"), "ways")
+    after = marks.select(F.col("last").alias("last_in"), F.col("to_v").alias("from_v")).join(w, "from_v")
+    no = bans.select(F.col("from_edge").alias("last_in"), F.col("via_v").alias("from_v"), F.col("to_edge").alias("edge_id"))
+    legal = after.join(no, ["last_in", "from_v", "edge_id"], "left_anti").select("last_in", *w.columns)
+    return stored(w.select(none.alias("last_in"), "*").unionByName(legal), "steps")
+
+
+def reached(step: DataFrame, sources: DataFrame, most: float | None = None) -> DataFrame:
+    """(source, v, last, dist, hops, via, before): the least cost from each source (source, v)
+    to each state, at most `most`; of equal costs the fewest hops, then the smallest edge.
+    via is the last edge, before the `last` of the state that it leaves.
+
+    Bellman-Ford by frontier: a round joins the states that improved with the ways that
+    leave them, and writes only what is better than all that is known."""
+    best = lambda new: F.min(F.when(F.col("new") == new, F.struct("dist", "hops", "via", "before")))
+    none = F.lit(None).cast("bigint")
+    front = stored(sources.select("source", "v", none.alias("last"), F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), none.alias("via"), none.alias("before")).distinct(), "front")
+    written = [front]
     while True:
-        step = front.join(ways, front["v"] == ways["from_v"]).select("source", F.col("to_v").alias("v"), (F.col("dist") + F.col("cost")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("edge_id").cast("long").alias("via"))
-        if most is not None:
-            step = step.where(F.col("dist") <= most)
-        step = step.groupBy("source", "v").agg(best).select("source", "v", "p.*")
-        old = known.select("source", "v", F.col("dist").alias("old_dist"), F.col("hops").alias("old_hops"))
-        better = step.join(old, ["source", "v"], "left").where("old_dist is null or dist < old_dist or (dist = old_dist and hops < old_hops)").select("source", "v", "dist", "hops", "via")
-        front = stored(better, "front")
+        go = front.withColumnRenamed("last", "was").join(step, (F.col("v") == F.col("from_v")) & F.col("was").eqNullSafe(F.col("last_in")))
+        go = go.select("source", F.col("to_v").alias("v"), "last", (F.col("dist") + F.col("cost")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("edge_id").alias("via"), F.col("was").alias("before"))
+        go = go if most is None else go.where(F.col("dist") <= most)
+        known = reduce(DataFrame.union, written)
+        both = go.withColumn("new", F.lit(True)).union(known.withColumn("new", F.lit(False))).groupBy(*STATE).agg(best(True).alias("n"), best(False).alias("o"))
+        better = both.where("n is not null and (o is null or n.dist < o.dist or (n.dist = o.dist and n.hops < o.hops))")
+        front = stored(better.select(*STATE, "n.*"), "front")
         if front.isEmpty():
-            return known
-        known = stored(known.join(front.select("source", "v"), ["source", "v"], "left_anti").unionByName(front), "known")
+            break
+        written.append(front)
+        if len(written) > 16:
+            written = [stored(_least(written), "known")]
+    return stored(_least(written), "known")
+
+
+def _least(tables: list[DataFrame]) -> DataFrame:
+    every = reduce(DataFrame.union, tables)
+    return every.groupBy(*STATE).agg(F.min(F.struct("dist", "hops", "via", "before")).alias("p")).select(*STATE, "p.*")
 
 
-def paths(known: DataFrame, ways: DataFrame, ends: DataFrame) -> DataFrame:
-    """(source, end, seq, edge_id): the edges from each source to each end (source, end),
-    walked back along `via`; seq counts from 1 at the source."""
-    back = ways.select(F.col("edge_id").cast("long").alias("via"), F.col("to_v").alias("v"), F.col("from_v").alias("prev"))
-    at = stored(ends.select("source", "end", F.col("end").alias("v")), "walk")
+def distances(ways: DataFrame, sources: DataFrame, most: float | None = None, bans: DataFrame | None = None) -> DataFrame:
+    """(source, v, dist, hops): of reached() the best of each vertex's states."""
+    known = reached(steps(ways, bans), sources, most)
+    return known.groupBy("source", "v").agg(F.min(F.struct("dist", "hops")).alias("p")).select("source", "v", "p.*")
+
+
+def paths(known: DataFrame, step: DataFrame, ends: DataFrame) -> DataFrame:
+    """(source, end, dist, edges array): the ways of reached() from each source to each end
+    (source, end) that it reaches, walked back by all at once, an edge a round."""
+    e = ends.select("source", F.col("end").alias("v")).distinct().join(known, ["source", "v"])
+    first = e.groupBy("source", "v").agg(F.min(F.struct("dist", "hops", "via", "before", "last")).alias("p"))
+    at = stored(first.select("source", F.col("v").alias("end"), "v", "p.last", "p.dist", F.array().cast("array<bigint>").alias("edges")), "walk")
+    back = stored(step.select(F.col("edge_id").alias("via"), F.col("to_v").alias("v"), F.col("from_v").alias("prev")).distinct(), "back")
     out = None
     while True:
-        here = at.join(known, ["source", "v"]).where("via is not null").join(back, ["via", "v"])
-        here = stored(here.select("source", "end", F.col("hops").alias("seq"), F.col("via").alias("edge_id"), "prev"), "walk")
-        if here.isEmpty():
+        here = at.withColumnRenamed("last", "now").join(known.select(F.col("source").alias("s"), F.col("v").alias("kv"), "last", "via", "before"), (F.col("source") == F.col("s")) & (F.col("v") == F.col("kv")) & F.col("now").eqNullSafe(F.col("last")))
+        here = stored(here.select("source", "end", "v", "via", "before", "dist", "edges"), "walk")
+        done = here.where("via is null").select("source", "end", "dist", "edges")
+        out = done if out is None else out.union(done)
+        left = here.where("via is not null")
+        if left.isEmpty():
             return out
-        step = here.select("source", "end", "seq", "edge_id")
-        out = step if out is None else out.union(step)
-        at = here.select("source", "end", F.col("prev").alias("v"))
+        at = left.join(back, ["via", "v"]).select("source", "end", F.col("prev").alias("v"), F.col("before").alias("last"), "dist", F.concat(F.array("via"), "edges").alias("edges"))
 
 
 def out_and_back(known: DataFrame, least_m: float, most_m: float) -> DataFrame:
@@ -80,23 +125,28 @@ def out_and_back(known: DataFrame, least_m: float, most_m: float) -> DataFrame:
     return known.where("hops > 0").select("source", "v", twice).where(F.col("there_and_back").between(least_m, most_m))
 
 
-def loops(ways: DataFrame, starts: DataFrame, most_edges: int, least_m: float, most_m: float) -> DataFrame:
+def loops(ways: DataFrame, starts: DataFrame, most_edges: int, least_m: float, most_m: float, bans: DataFrame | None = None) -> DataFrame:
     """(start, edges array, m): simple loops from each start v with 3 to most_edges edges and
-    a length in bounds, each in the direction whose first edge is smaller than its last.
+    a length in bounds, each once: in the direction whose first edge is smaller than its
+    last, or in the other one where only that is legal.  No loop takes a banned turn (from_edge, via_v, to_edge) on its way; the turn at the start
+    is free.
 
     Breadth first: paths that are too long, or that meet themselves, end.  All are kept."""
-    path = starts.select(F.col("v").alias("start"), F.col("v").alias("at"), F.array(F.col("v")).alias("seen"), F.array().cast("array<bigint>").alias("edges"), F.lit(0.0).alias("m"))
-    w = ways.select("from_v", "to_v", F.col("edge_id").cast("bigint").alias("edge_id"), F.col("m").alias("step"))
-    out = None
+    none = F.lit(None).cast("bigint")
+    path = starts.select(F.col("v").alias("start"), F.col("v").alias("at"), none.alias("was"), F.array(F.col("v")).alias("seen"), F.array().cast("array<bigint>").alias("edges"), F.lit(0.0).alias("so_far"))
+    w, out = steps(ways, bans), None
     for n in range(1, most_edges + 1):
-        grown = path.join(w, path["at"] == w["from_v"]).withColumn("m", F.col("m") + F.col("step")).where(F.col("m") <= most_m)
-        grown = grown.select("start", "to_v", "seen", F.concat("edges", F.array("edge_id")).alias("edges"), "m")
+        grown = path.join(w, (F.col("at") == F.col("from_v")) & F.col("was").eqNullSafe(F.col("last_in"))).withColumn("m", F.col("so_far") + F.col("m")).where(F.col("m") <= most_m)
+        grown = grown.select("start", "to_v", "last", "seen", F.concat("edges", F.array("edge_id")).alias("edges"), "m")
         if n >= 3:
-            closed = grown.where((F.col("to_v") == F.col("start")) & (F.col("m") >= least_m) & (F.get("edges", F.lit(0)) < F.element_at("edges", -1))).select("start", "edges", "m")
+            closed = grown.where((F.col("to_v") == F.col("start")) & (F.col("m") >= least_m)).select("start", "edges", "m")
             out = closed if out is None else out.union(closed)
         if n < most_edges:
-            path = stored(grown.where(~F.array_contains("seen", F.col("to_v"))).select("start", F.col("to_v").alias("at"), F.concat("seen", F.array("to_v")).alias("seen"), "edges", "m"), "paths")
-    return out
+            on = grown.where(~F.array_contains("seen", F.col("to_v")))
+            path = stored(on.select("start", F.col("to_v").alias("at"), F.col("last").alias("was"), F.concat("seen", F.array("to_v")).alias("seen"), "edges", F.col("m").alias("so_far")), "paths")
+    turn = F.struct((F.get("edges", F.lit(0)) > F.element_at("edges", -1)).alias("other"), "edges", "m")
+    one = out.groupBy("start", F.least(F.col("edges"), F.reverse("edges")).alias("both")).agg(F.min(turn).alias("p"))
+    return one.select("start", "p.edges", "p.m")
 
 
 def landmarks(known: DataFrame, vertices: DataFrame, most_m: float, rings: int = 12, sectors: int = 16) -> DataFrame:

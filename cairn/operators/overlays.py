@@ -9,22 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import calendar, geo
-from cairn.operators.spatial import cells_of_box
+from cairn.operators.spatial import boxed_line, met
 
 
 def touching(edges: DataFrame, overlays: DataFrame, size: float) -> DataFrame:
     """(edge_id, pos): overlays that an edge meets: a ring it enters or crosses, or a line
     within the overlay's tolerance.  Both sides meet through cells of their boxes."""
-
-    def boxed(df: DataFrame, line: str, reach) -> DataFrame:
-        lon, lat = F.transform(line, lambda p: p["lon"]), F.transform(line, lambda p: p["lat"])
-        wide = reach / (geo.LAT_M * F.greatest(F.abs(F.cos(F.radians(F.array_max(F.transform(lat, F.abs))))), F.lit(0.01)))
-        high = reach / geo.LAT_M
-        return df.withColumn("cell", F.explode(cells_of_box(F.array_min(lon) - wide, F.array_min(lat) - high, F.array_max(lon) + wide, F.array_max(lat) + high, size)))
-
-    a = boxed(edges.select("edge_id", "line"), "line", F.lit(0.0))
-    b = boxed(overlays.select("pos", "geometry", "is_ring", "tolerance_m"), "geometry", F.col("tolerance_m"))
-    pairs = a.join(b, "cell").dropDuplicates(["edge_id", "pos"])
+    lat = F.transform("geometry", lambda p: F.abs(p["lat"]))
+    high = F.col("tolerance_m") / geo.LAT_M
+    wide = high / F.greatest(F.abs(F.cos(F.radians(F.array_max(lat)))), F.lit(0.01))
+    a = boxed_line(edges.select("edge_id", "line"), "a", "line", size)
+    b = boxed_line(overlays.select("pos", "geometry", "is_ring", "tolerance_m"), "b", "geometry", size, wide, high)
+    pairs = met(a, b, size)
     meets = F.when(F.col("is_ring"), geo.line_meets_ring(F.col("line"), F.col("geometry"))).otherwise(geo.line_distance(F.col("line"), F.col("geometry")) <= F.col("tolerance_m"))
     return pairs.where(meets).select("edge_id", "pos")
 
@@ -62,13 +58,9 @@ def with_crossings(edges: DataFrame, context: DataFrame, size: float) -> DataFra
     """edges with road_crossings, water_crossings, road_exposure and confidence from lines
     (kind, line, confidence, source_id) that cross them.  Of several lines of one kind and
     source the largest count stands; a line of the edge's own source doesn't count."""
-    def boxed(df: DataFrame) -> DataFrame:
-        lon, lat = F.transform("line", lambda p: p["lon"]), F.transform("line", lambda p: p["lat"])
-        return df.withColumn("cell", F.explode(cells_of_box(F.array_min(lon), F.array_min(lat), F.array_max(lon), F.array_max(lat), size)))
-
-    a = boxed(edges.select("edge_id", "line", F.col("source_id").alias("own")))
-    b = boxed(context.withColumn("n_", F.monotonically_increasing_id())).withColumnRenamed("line", "other").withColumnRenamed("confidence", "o_conf")
-    hits = a.join(b, "cell").where("own is null or source_id is null or own != source_id").dropDuplicates(["edge_id", "n_"])
+    a = boxed_line(edges.select("edge_id", "line", F.col("source_id").alias("own")), "a", "line", size)
+    b = boxed_line(context.select("kind", F.col("line").alias("other"), F.col("confidence").alias("o_conf"), "source_id"), "b", "other", size)
+    hits = met(a, b, size).where("own is null or source_id is null or own != source_id")
     hits = hits.withColumn("n", geo.crossing_count(F.col("line"), F.col("other"))).where("n > 0")
     one = hits.groupBy("edge_id", "kind", "source_id").agg(F.max("n").alias("n"), F.min("o_conf").alias("o_conf"))
     exposure = F.least(F.max(F.when(F.col("kind") == "road", F.col("n"))) * 0.03, F.lit(0.20))

@@ -40,14 +40,21 @@ def grade_bin(grade: Column, m: Column) -> list[Column]:
     return [F.sum(F.when((g >= lo) & (g < hi), m).otherwise(0.0)).alias(name) for name, lo, hi in BINS]
 
 
-def metrics(legs: DataFrame) -> DataFrame:
-    """One row of measures per route: one exchange, by route.  An edge repeats from its
-    second traversal on.  Fractions of a route without length are null."""
-    c = F.col
-    rep = F.row_number().over(Window.partitionBy("route_id", "edge_id").orderBy("seq"))
-    rows = legs.repartition("route_id").withColumn("rep", rep)
-    share = lambda test: (F.sum(F.when(test, c("m")).otherwise(0.0)) / F.nullif(F.sum("m"), F.lit(0.0)))
+def measured(legs: DataFrame) -> DataFrame:
+    """One row per route: route_id, start_v, shape and the measures.
+
+    An edge repeats from its second traversal on.  Shape is open, out-and-back if an edge
+    repeats, figure-eight if a vertex is visited once more than its due (the start may be
+    visited twice), else loop.  Fractions of a route without length are null.  Everything
+    is one pass over legs that lie together by route: repeats show as equal neighbours in
+    the orders of edges and of vertices, so that no second exchange is needed."""
+    c, of = F.col, Window.partitionBy("route_id")
+    again = lambda k: F.coalesce(F.lag(k).over(of.orderBy(k, "seq")) == c(k), F.lit(False))
+    rows = legs.withColumn("rep_", again("edge_id")).withColumn("seen_", again("to_v"))
+    length = F.nullif(F.sum("m"), F.lit(0.0))
+    share = lambda test: F.sum(F.when(test, c("m")).otherwise(0.0)) / length
     road = road_exposure(c("road"), c("terrain"))
+    shape = F.when(F.min("start_v") != F.max_by("to_v", "seq"), "open").when(F.max("rep_"), "out-and-back").when(F.max("seen_"), "figure-eight").otherwise("loop")
     return rows.groupBy("route_id").agg(
         F.count("*").alias("n_legs"),
         F.sum("m").alias("distance_m"),
@@ -55,14 +62,21 @@ def metrics(legs: DataFrame) -> DataFrame:
         F.sum(F.when(c("e2") < c("e1"), c("e1") - c("e2")).otherwise(0.0)).alias("descent_m"),
         F.sum(c("m") / 1000.0 * physics.joint_work(c("grade")) * physics.roughness(c("terrain"))).alias("load_km"),
         F.sum(3.6 * c("m") / physics.speed_kmh(c("grade"), c("terrain"))).alias("moving_time_s"),
-        (100.0 * F.sum(c("m") * edge_quality(c("road"), c("conf"), c("access"), c("terrain"))) / F.nullif(F.sum("m"), F.lit(0.0))).alias("quality"),
-        (F.sum(c("m") * road) / F.nullif(F.sum("m"), F.lit(0.0))).alias("road_fraction"),
+        (100.0 * F.sum(c("m") * edge_quality(c("road"), c("conf"), c("access"), c("terrain"))) / length).alias("quality"),
+        (F.sum(c("m") * road) / length).alias("road_fraction"),
         share(c("conf") < LOW_CONFIDENCE).alias("low_confidence_fraction"),
         share(is_restricted(c("access"))).alias("restricted_fraction"),
-        share(c("rep") > 1).alias("repeated_fraction"),
+        share(c("rep_")).alias("repeated_fraction"),
+        shape.alias("shape"),
+        F.min("start_v").alias("start_v"),
     )
 
 
+def metrics(legs: DataFrame) -> DataFrame:
+    """The measures of measured(), without shape and start."""
+    return measured(legs).drop("shape", "start_v")
+
+
 def keyed_metres(legs: DataFrame, key: str) -> DataFrame:
     """(route_id, key, metres, fraction) for terrain or access."""
     by = legs.groupBy("route_id", key).agg(F.sum("m").alias("metres"))
@@ -75,15 +89,8 @@ def grades(legs: DataFrame) -> DataFrame:
 
 
 def shapes(legs: DataFrame) -> DataFrame:
-    """(route_id, shape): open, out-and-back if an edge repeats, figure-eight if a vertex is
-    visited once more than its due (the start may be visited twice), else loop."""
-    visits = legs.select("route_id", "start_v", F.col("to_v").alias("v"))
-    first = legs.groupBy("route_id").agg(F.min("start_v").alias("start_v"), F.max_by("to_v", "seq").alias("end_v"), F.count("*").alias("legs"), F.countDistinct("edge_id").alias("edges"))
-    counts = visits.groupBy("route_id", "start_v", "v").count()
-    # The start counts one visit before the first leg, and may be visited once more.
-    over = counts.groupBy("route_id").agg(F.max((F.col("count") > 1).cast("int")).alias("again"))
-    shape = F.when(F.col("start_v") != F.col("end_v"), "open").when(F.col("legs") > F.col("edges"), "out-and-back").when(F.col("again") == 1, "figure-eight").otherwise("loop")
-    return first.join(over, "route_id").select("route_id", shape.alias("shape"))
+    """(route_id, shape) of measured()."""
+    return measured(legs).select("route_id", "shape")
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn import sinks
 from cairn.functions import calendar, crs, geo, physics, vocab
-from cairn.operators import enrich, graph, network, overlays, routes, spatial, traces
+from cairn.operators import build, enrich, graph, network, overlays, routes, spatial, traces
 from cairn.plans import bridge
 from cairn.plans.bridge import table
 from cairn.plans.registry import query
@@ -56,9 +56,7 @@ SHAPES = """s AS (SELECT f.route_id, CASE WHEN start_v <> end_v THEN 'open' WHEN
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics with shape and start of every route."""
-    legs = bridge.legs(spark, sf_dir)
-    start = legs.groupBy("route_id").agg(F.min("start_v").alias("start_v"))
-    return routes.metrics(legs).join(routes.shapes(legs), "route_id").join(start, "route_id")
+    return routes.measured(bridge.legs(spark, sf_dir))
 
 
 @query(view("SELECT route_id, n_legs, round(distance_m, 3) AS distance_m, round(ascent_m, 3) AS ascent_m, round(descent_m, 3) AS descent_m, round(load_km, 5) AS load_km, round(moving_time_s, 3) AS moving_time_s, round(quality, 5) AS quality, round(road_fraction, 6) AS road_fraction, round(low_confidence_fraction, 6) AS low_confidence_fraction, round(restricted_fraction, 6) AS restricted_fraction, round(repeated_fraction, 6) AS repeated_fraction FROM m", METRICS))
@@ -243,12 +241,13 @@ def profile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     view(
         "SELECT trace_id, kind, min(pos) AS first_segment, max(pos) AS last_segment, round(CASE WHEN count(ele) = count(*) THEN max(ele) END, 6) AS nearest_m FROM (SELECT *, sum(CASE WHEN kind = k0 AND pos <= p0 + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY trace_id ORDER BY pos) AS island FROM (SELECT *, lag(kind) OVER w AS k0, lag(pos) OVER w AS p0 FROM g WINDOW w AS (PARTITION BY trace_id ORDER BY pos))) GROUP BY trace_id, kind, island",
-        "g AS (SELECT trace_id, pos, ele, CASE WHEN pos % 11 < 6 THEN 'unmatched' ELSE 'disconnected' END AS kind FROM b_trace WHERE pos % 4 <> 0)",
+        "g AS (SELECT trace_id, pos, ele, CASE WHEN ele IS NULL THEN 'unmatched' ELSE 'disconnected' END AS kind FROM b_trace WHERE ele IS NULL OR ele < 1604e0)",
     )
 )
 def gap_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = bridge.points(spark, sf_dir).where("pos % 4 <> 0")
-    gaps = p.select("trace_id", F.when(F.col("pos") % 11 < 6, "unmatched").otherwise("disconnected").alias("kind"), F.col("pos").alias("first_segment"), F.col("pos").alias("last_segment"), F.col("ele").alias("nearest_m"))
+    """Gaps: points without an elevation, and those on low ground."""
+    p = bridge.points(spark, sf_dir).where("ele is null or ele < 1604")
+    gaps = p.select("trace_id", F.when(F.col("ele").isNull(), "unmatched").otherwise("disconnected").alias("kind"), F.col("pos").alias("first_segment"), F.col("pos").alias("last_segment"), F.col("ele").alias("nearest_m"))
     return traces.coalesced_gaps(gaps).withColumn("nearest_m", r("nearest_m", 6))
 
 
@@ -262,7 +261,7 @@ def nearest_vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest_vertex(bridge.points(spark, sf_dir), ["trace_id", "pos"], bridge.vertices(spark, sf_dir), 0.01).select("trace_id", "pos", "v", r("distance_m", 3).alias("distance_m"))
 
 
-_NEAR = """h AS (SELECT trace_id, pos, edge_id, round(hypot2, 4) AS distance_m FROM (SELECT trace_id, pos, edge_id, sqrt(power(hx + dx * t, 2e0) + power(hy + dy * t, 2e0)) AS hypot2 FROM (SELECT *, greatest(0e0, least(1e0, -(hx * dx + hy * dy) / (dx * dx + dy * dy))) AS t FROM (
+_NEAR = """h AS (SELECT trace_id, pos, edge_id, round(hypot2, 6) AS distance_m FROM (SELECT trace_id, pos, edge_id, sqrt(power(hx + dx * t, 2e0) + power(hy + dy * t, 2e0)) AS hypot2 FROM (SELECT *, greatest(0e0, least(1e0, -(hx * dx + hy * dy) / (dx * dx + dy * dy))) AS t FROM (
  SELECT trace_id, pos, edge_id, (lon1 - p.lon) * 111320e0 * cos(radians(p.lat)) AS hx, (lat1 - p.lat) * 110540e0 AS hy, (lon2 - lon1) * 111320e0 * cos(radians(p.lat)) AS dx, (lat2 - lat1) * 110540e0 AS dy FROM b_trace p, b_edge))) WHERE hypot2 <= 900e0)"""
 
 
@@ -271,14 +270,14 @@ def _near(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return spatial.nearest_edges(bridge.points(spark, sf_dir), ["trace_id", "pos"], segs, 900.0, k, 0.01)
 
 
-@query(view("SELECT trace_id, pos, min(distance_m) AS distance_m FROM h GROUP BY ALL", _NEAR))
+@query(view("SELECT trace_id, pos, arg_min(edge_id, struct_pack(d := distance_m, e := edge_id)) AS edge_id, round(min(distance_m), 4) AS distance_m FROM h GROUP BY ALL", _NEAR))
 def nearest_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(spark, sf_dir, 1).select("trace_id", "pos", r("distance_m", 4).alias("distance_m"))
+    return _near(spark, sf_dir, 1).select("trace_id", "pos", "edge_id", r("distance_m", 4).alias("distance_m"))
 
 
-@query(view("SELECT trace_id, pos, rank::INT AS rank, distance_m FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, pos ORDER BY distance_m) AS rank FROM h) WHERE rank <= 3", _NEAR))
+@query(view("SELECT trace_id, pos, rank::INT AS rank, edge_id, round(distance_m, 4) AS distance_m FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, pos ORDER BY distance_m, edge_id) AS rank FROM h) WHERE rank <= 3", _NEAR))
 def k_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(spark, sf_dir, 3).select("trace_id", "pos", "rank", r("distance_m", 4).alias("distance_m"))
+    return _near(spark, sf_dir, 3).select("trace_id", "pos", "rank", "edge_id", r("distance_m", 4).alias("distance_m"))
 
 
 RING = [(-104.995, 40.003), (-104.965, 40.008), (-104.958, 40.031), (-104.981, 40.022), (-104.992, 40.035)]
@@ -316,6 +315,23 @@ def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.crossings(_segments(spark, sf_dir), 0.01).select("a", "b", r("t", 6).alias("t"), r("u", 6).alias("u"))
 
 
+_CROSSED = """x AS (SELECT a.edge_id AS a, b.edge_id AS b, a.lon2 - a.lon1 AS rx, a.lat2 - a.lat1 AS ry, b.lon2 - b.lon1 AS sx, b.lat2 - b.lat1 AS sy, b.lon1 - a.lon1 AS qx, b.lat1 - a.lat1 AS qy FROM b_edge a JOIN b_edge b ON a.edge_id < b.edge_id),
+y AS (SELECT a, b, (qx * sy - qy * sx) / det AS t, (qx * ry - qy * rx) / det AS u FROM (SELECT *, rx * sy - ry * sx AS det FROM x) WHERE abs(det) >= 1e-14),
+z AS (SELECT a AS draft_id, t FROM y WHERE u BETWEEN -1e-9 AND 1.000000001e0 UNION ALL SELECT b, u FROM y WHERE t BETWEEN -1e-9 AND 1.000000001e0)"""
+
+
+@query(view("SELECT e.edge_id AS draft_id, 1 + count(DISTINCT round(z.t, 7)) AS n_edges, round(min(e.m), 2) AS m FROM b_edge e LEFT JOIN z ON z.draft_id = e.edge_id AND z.t > 1e-8 AND z.t < 0.99999999e0 GROUP BY e.edge_id", _CROSSED))
+def graph_split_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The network's edges as planar drafts: how many edges each becomes, and their metres."""
+    e = bridge.edges(spark, sf_dir)
+    point = lambda k: F.struct(F.col(f"lon{k}").alias("lon"), F.col(f"lat{k}").alias("lat"), F.lit(None).cast("double").alias("ele"))
+    text = {k: F.lit(v) for k, v in {"policy": "planar", "kind": "path", "claim": "surveyed", "standing": "unknown", "marking": "unknown", "terrain": "trail", "access": "open"}.items()}
+    none = F.lit(None).cast("string")
+    drafts = e.select(F.col("edge_id").alias("draft_id"), F.array(point(1), point(2)).alias("line"), none.alias("key_a"), none.alias("key_b"), F.lit(0.9).alias("confidence"), *[v.alias(k) for k, v in text.items()])
+    made = build.built(drafts)[1]
+    return made.groupBy("draft_id").agg(F.count("*").alias("n_edges"), r(F.sum("m"), 2).alias("m"))
+
+
 RECTS = [(-104.996, 40.004, -104.970, 40.030), (-104.975, 40.020, -104.950, 40.046)]
 
 
@@ -355,21 +371,41 @@ def conflate_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -------------------------------------------------------------------------------- graph
-def _known_sql(rounds: int = 10) -> str:
-    out = ["d0 AS (SELECT v AS source, v, 0e0 AS d FROM b_vertex WHERE v IN (0, 12))"]
+AVERSION = 2.0
+
+
+def _known_sql(cost: str = "m", rounds: int = 12) -> str:
+    """dist (source, v, d, edges): least costs between all vertices, by rounds."""
+    out = [f"c_way AS (SELECT edge_id, a AS from_v, b AS to_v, {cost} AS c FROM b_edge UNION ALL SELECT edge_id, b, a, {cost} FROM b_edge)", "d0 AS (SELECT v AS source, v, 0e0 AS d, [] AS edges FROM b_vertex)"]
     for i in range(rounds):
-        out.append(f"d{i + 1} AS (SELECT source, v, min(d) AS d FROM (SELECT * FROM d{i} UNION ALL SELECT source, to_v, d + m FROM d{i} JOIN b_way ON from_v = v) GROUP BY ALL)")
+        out.append(f"d{i + 1} AS (SELECT source, v, min(d) AS d, arg_min(edges, d) AS edges FROM (SELECT * FROM d{i} UNION ALL SELECT source, to_v, d + c, list_append(edges, edge_id) FROM d{i} JOIN c_way ON from_v = v) GROUP BY ALL)")
     return ", ".join([*out, f"dist AS (SELECT * FROM d{rounds})"])
 
 
 def _known(spark: SparkSession, sf_dir: str, most: float | None = None) -> DataFrame:
-    sources = bridge.vertices(spark, sf_dir).where("v in (0, 12)").select(F.col("v").alias("source"), "v")
+    sources = bridge.vertices(spark, sf_dir).select(F.col("v").alias("source"), "v")
     return graph.distances(graph.directed(bridge.edges(spark, sf_dir)), sources, most)
 
 
-@query(view("SELECT source, v, round(d, 3) AS dist FROM dist", _known_sql()))
+@query(view("SELECT source, v AS \"end\", round(d, 3) AS dist, array_to_string(edges, '-') AS edges FROM dist", _known_sql(f"m * (1e0 + {num(AVERSION)} * road)")))
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _known(spark, sf_dir).select("source", "v", r("dist", 3).alias("dist"))
+    """Least-cost paths with their edges between all pairs of vertices, averse to roads."""
+    step = graph.steps(graph.directed(bridge.edges(spark, sf_dir), AVERSION))
+    v = bridge.vertices(spark, sf_dir).select("v")
+    known = graph.reached(step, v.select(F.col("v").alias("source"), "v"))
+    found = graph.paths(known, step, known.select("source", F.col("v").alias("end")))
+    return found.select("source", "end", r("dist", 3).alias("dist"), F.array_join(F.col("edges").cast("array<string>"), "-").alias("edges"))
+
+
+@query()
+def shortest_path_with_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where turns between two edges whose ids sum to a multiple of five are banned."""
+    ways = graph.directed(bridge.edges(spark, sf_dir), AVERSION)
+    step = graph.steps(ways, graph.turns(ways).where("(from_edge + to_edge) % 5 = 0"))
+    v = bridge.vertices(spark, sf_dir).select("v")
+    known = graph.reached(step, v.select(F.col("v").alias("source"), "v"))
+    found = graph.paths(known, step, known.select("source", F.col("v").alias("end")))
+    return found.select("source", "end", r("dist", 3).alias("dist"), F.array_join(F.col("edges").cast("array<string>"), "-").alias("edges"))
 
 
 @query(view("SELECT source, v, round(d, 3) AS dist FROM dist WHERE d <= 3000e0", _known_sql()))
@@ -393,13 +429,13 @@ def landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.landmarks(known, bridge.vertices(spark, sf_dir), 12_000.0)
 
 
-_LOOP3 = "SELECT a.from_v AS start, [a.edge_id, b.edge_id, c.edge_id]::BIGINT[] AS edges, a.m + b.m + c.m AS m FROM b_way a JOIN b_way b ON b.from_v = a.to_v JOIN b_way c ON c.from_v = b.to_v WHERE a.from_v IN (0, 12) AND c.to_v = a.from_v AND b.to_v <> a.from_v AND a.edge_id < c.edge_id"
-_LOOP4 = "SELECT a.from_v, [a.edge_id, b.edge_id, c.edge_id, e.edge_id]::BIGINT[], a.m + b.m + c.m + e.m FROM b_way a JOIN b_way b ON b.from_v = a.to_v JOIN b_way c ON c.from_v = b.to_v JOIN b_way e ON e.from_v = c.to_v WHERE a.from_v IN (0, 12) AND e.to_v = a.from_v AND b.to_v <> a.from_v AND c.to_v NOT IN (a.from_v, a.to_v) AND a.edge_id < e.edge_id"
+_LOOP3 = "SELECT a.from_v AS start, [a.edge_id, b.edge_id, c.edge_id]::BIGINT[] AS edges, a.m + b.m + c.m AS m FROM b_way a JOIN b_way b ON b.from_v = a.to_v JOIN b_way c ON c.from_v = b.to_v WHERE c.to_v = a.from_v AND b.to_v <> a.from_v AND a.edge_id < c.edge_id"
+_LOOP4 = "SELECT a.from_v, [a.edge_id, b.edge_id, c.edge_id, e.edge_id]::BIGINT[], a.m + b.m + c.m + e.m FROM b_way a JOIN b_way b ON b.from_v = a.to_v JOIN b_way c ON c.from_v = b.to_v JOIN b_way e ON e.from_v = c.to_v WHERE e.to_v = a.from_v AND b.to_v <> a.from_v AND c.to_v NOT IN (a.from_v, a.to_v) AND a.edge_id < e.edge_id"
 
 
 @query(view(f"SELECT start, array_to_string(edges, '-') AS edges, round(m, 3) AS m FROM ({_LOOP3} UNION ALL {_LOOP4}) WHERE m BETWEEN 3000e0 AND 6000e0"))
 def exact_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = bridge.vertices(spark, sf_dir).where("v in (0, 12)").select("v")
+    starts = bridge.vertices(spark, sf_dir).select("v")
     found = graph.loops(graph.directed(bridge.edges(spark, sf_dir)), starts, 4, 3000.0, 6000.0)
     return found.select("start", F.array_join(F.col("edges").cast("array<string>"), "-").alias("edges"), r("m", 3).alias("m"))
 
@@ -412,8 +448,7 @@ def exact_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turn_legal_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     legs = bridge.legs(spark, sf_dir)
     # Banned: turns between two edges whose ids sum to a multiple of seven.
-    e = legs.select("edge_id", "from_v", "to_v").distinct()
-    bans = graph.turns(e.select("edge_id", "from_v", "to_v"), e.limit(0).select(F.col("edge_id").alias("from_edge"), F.col("to_v").alias("via_v"), F.col("edge_id").alias("to_edge"))).where("(from_edge + to_edge) % 7 = 0")
+    bans = graph.turns(legs.select("edge_id", "from_v", "to_v").distinct()).where("(from_edge + to_edge) % 7 = 0")
     return graph.legal_legs(legs, bans.distinct()).select("route_id", "seq", "edge_id")
 
 
