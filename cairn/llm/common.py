@@ -56,13 +56,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def dropped(df: DataFrame) -> None:
-    """Remove what stored() wrote; for tables that no later job reads."""
+    """Remove what stored() wrote; for tables that no later job reads.  Spark removes the
+    exchange files of queries that are over when the driver collects what refers to them."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+    jvm.System.gc()
 
 
 def stored_bytes(df: DataFrame) -> int:
