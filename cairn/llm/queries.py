@@ -129,9 +129,17 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ninth recording but the queries' is a copy of the tune of the query before it:
+    late, noisy or cut, as its id says."""
     from cairn.llm.chroma import aligned_recordings, rendered
 
-    return aligned_recordings(rendered(table(spark, sf_dir, "embeddings")), "vec_id")
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    of = F.when((F.col("vec_id") % 9 == 4) & (F.col("vec_id") % 50 != 0), F.col("vec_id") - F.col("vec_id") % 50)
+    tunes = v.where("vec_id % 50 = 0").groupBy(F.col("vec_id").alias("of")).agg(F.first("embedding").alias("tune"))
+    rows = v.withColumn("of", of).join(tunes, "of", "left")
+    copy = lambda value, plain: F.when(F.col("tune").isNotNull(), value).otherwise(plain)
+    rows = rows.select("vec_id", F.coalesce("tune", "embedding").alias("embedding"), copy((F.col("vec_id") * 37) % 700, 0).alias("late"), copy(F.col("vec_id") % 4 * 1500, 0).alias("noise"), copy(1 - F.col("vec_id") % 3 * 0.2, 1.0).alias("kept"))
+    return aligned_recordings(rendered(rows), "vec_id")
 
 
 @query
