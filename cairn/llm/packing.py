@@ -53,11 +53,12 @@ class Capacities:
 
 def best_fit_decreasing(lengths: list[int], length: int) -> list[list[int]]:
     """Rows as lists of indices; each row's lengths sum to `length` at most.  Of equal
-    lengths the earlier goes first, of equal rooms the row that got it last."""
+    lengths the earlier goes first, of equal rooms the row that got it last.  A length of 0
+    goes to a row with room, so that its place lies inside the row."""
     rooms, by_room, rows = Capacities(length), {}, []
     for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         need = lengths[i]
-        room = rooms.least(need)
+        room = rooms.least(max(need, 1))
         if room < 0:
             room, row = length, len(rows)
             rows.append([])
