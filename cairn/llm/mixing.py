@@ -223,7 +223,9 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     gives no evidence; its rate follows from these like any other.  Null and repeated ids
     keep their rows; equal texts get equal rates.  Other columns are not looked at.
     An empty table gives an empty result; without usable labels posteriors are uniform.
-    Targets that no rates >= 0 reach are approached in the norm of the module's text.
+    Targets that no rates >= 0 reach are approached in the norm of the module's text, but
+    the steps end before the optimum: on a hard case of the tests the loss is 1.25 times
+    the least.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rates = fitted_rates(posteriors(rows, labels, most), targets, growth)

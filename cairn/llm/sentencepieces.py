@@ -155,12 +155,12 @@ class MergeEncoder:
             start = end - len(p) + 1
             if longest[start] is None or len(p) > len(longest[start]):
                 longest[start] = p
-        open_ = (1 << (n + 1)) - 1
+        open_ = bytearray(b"\1") * (n + 1)
         taken: list[str] = []
         pos, piece = 0, longest[0]
         while True:
             end = pos + len(piece)
-            if open_ >> end & 1 and (not taken or self.compatible(taken[-1], piece)):
+            if open_[end] and (not taken or self.compatible(taken[-1], piece)):
                 taken.append(piece)
                 pos = end
                 if pos == n:
@@ -169,7 +169,7 @@ class MergeEncoder:
                 continue
             piece = self.shorter[piece]
             while piece is None:
-                open_ &= ~(1 << pos)
+                open_[pos] = 0
                 last = taken.pop()
                 pos -= len(last)
                 piece = self.shorter[last]

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.llm.common import unused
+
 #: numpy draws hypergeometric numbers from populations below this.
 NUMPY_LIMIT = 10**9
 
@@ -87,6 +89,7 @@ def uniform_shards(docs: DataFrame, n_shards: int, cells_per_shard: int | None =
     """
     spark = docs.sparkSession
     docs = docs.select([c for c in docs.columns if c.lower() not in ("shard", "slot")])
+    cell, order_, first_ = unused(docs, "cell_", "order_", "first_")
     # The number of input partitions bounds what the driver gets: one count for each.
     got = docs.groupBy(F.spark_partition_id().alias("p")).count().collect()
     counts = np.zeros(max([r["p"] for r in got], default=-1) + 1, np.int64)
@@ -110,13 +113,13 @@ def uniform_shards(docs: DataFrame, n_shards: int, cells_per_shard: int | None =
                 raise RuntimeError("the table's partitions changed since they were counted")
             part = slice(at, at + b.num_rows)
             added = [pa.array(labels[part]), pa.array(order[part]), pa.array(first[labels[part]])]
-            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "_cell", "_order", "_first"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, cell, order_, first_])
             at += b.num_rows
         if at != mine:
             raise RuntimeError("the table's partitions changed since they were counted")
 
-    kept = T.StructType(list(docs.schema)).add("_cell", T.IntegerType()).add("_order", T.LongType()).add("_first", T.LongType())
-    dealt = docs.mapInArrow(deal, kept).repartitionById(len(capacities), F.col("_cell"))
-    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_order"))
-    slot = (F.col("_first") + rank - 1).cast("long")
-    return dealt.select(*[F.col(f"`{c}`") for c in docs.columns], F.floor(F.col("_cell") / k).cast("int").alias("shard"), slot.alias("slot"))
+    kept = T.StructType(list(docs.schema)).add(cell, T.IntegerType()).add(order_, T.LongType()).add(first_, T.LongType())
+    dealt = docs.mapInArrow(deal, kept).repartitionById(len(capacities), F.col(cell))
+    rank = F.row_number().over(Window.partitionBy(cell).orderBy(order_))
+    slot = (F.col(first_) + rank - 1).cast("long")
+    return dealt.select(*[F.col(f"`{c}`") for c in docs.columns], F.floor(F.col(cell) / k).cast("int").alias("shard"), slot.alias("slot"))
