@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,16 +56,21 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Between large steps: Spark removes the exchange files of queries that are over once
+    the driver has collected what refers to them, which else may take until its heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(df: DataFrame) -> None:
-    """Remove what stored() wrote; for tables that no later job reads.  Spark removes the
-    exchange files of queries that are over when the driver collects what refers to them."""
+    """Remove what stored() wrote; for tables that no later job reads."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
-    jvm.System.gc()
 
 
 def stored_bytes(df: DataFrame) -> int:
