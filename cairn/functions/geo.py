@@ -166,3 +166,69 @@ def ring_area2(ring: Column) -> Column:
     """Twice the signed area in square degrees (shoelace)."""
     closed = F.concat(segments(ring), F.array(F.struct(F.element_at(ring, -1).alias("a"), F.element_at(ring, 1).alias("b"))))
     return total(F.transform(closed, lambda s: s["a"]["lon"] * s["b"]["lat"] - s["b"]["lon"] * s["a"]["lat"]))
+
+
+def along(line: Column) -> Column:
+    """Metres from the line's start to each of its points."""
+    steps = F.transform(segments(line), lambda s: metres(s["a"], s["b"]))
+    return once(steps, lambda m: F.concat(F.array(F.lit(0.0)), F.transform(m, lambda x, i: F.aggregate(F.slice(m, F.lit(1), i + 1), F.lit(0.0), lambda a, y: a + y))))
+
+
+def line_at(line: Column, at_m: Column) -> Column:
+    """The point at_m metres along a line; its ends beyond them."""
+
+    def place(m: Column) -> Column:
+        k = F.least(F.greatest(F.size(F.filter(m, lambda x: x <= at_m)), F.lit(1)), F.size(m) - 1)
+        a, b = F.get(m, k - 1), F.get(m, k)
+        t = F.when(b > a, _clamp((at_m - a) / (b - a), 0.0, 1.0)).otherwise(0.0)
+        return lerp(F.get(line, k - 1), F.get(line, k), t)
+
+    return once(along(line), place)
+
+
+def line_slice(line: Column, start_m: Column, end_m: Column) -> Column:
+    """The part of a line between two distances along it, of two points at least."""
+
+    def part(m: Column) -> Column:
+        inner = F.filter(F.zip_with(line, m, lambda p, x: F.when((x > start_m) & (x < end_m), p)), lambda p: p.isNotNull())
+        return once(F.concat(F.array(line_at(line, start_m)), inner, F.array(line_at(line, end_m))), lambda q: F.when((F.size(q) > 2) & (F.element_at(q, -1) == F.element_at(q, -2)), F.slice(q, F.lit(1), F.size(q) - 1)).otherwise(q))
+
+    return once(along(line), part)
+
+
+def line_projection(p: Column, line: Column) -> Column:
+    """struct (distance_m, segment, progress_m): the place of a line nearest to a point; of
+    equal ones the first."""
+
+    def place(m: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            d, t = projection(p["lon"], p["lat"], s["a"]["lon"], s["a"]["lat"], s["b"]["lon"], s["b"]["lat"])
+            return F.struct(d.alias("distance_m"), i.alias("segment"), (F.get(m, i) + (F.get(m, i + 1) - F.get(m, i)) * t).alias("progress_m"))
+
+        return F.array_min(F.transform(segments(line), one))
+
+    return once(along(line), place)
+
+
+def on_line(p: Column, line: Column, most2: float = 1e-18) -> Column:
+    """Whether a point lies on a line, to a squared distance in degrees."""
+
+    def near(s: Column) -> Column:
+        dx, dy = s["b"]["lon"] - s["a"]["lon"], s["b"]["lat"] - s["a"]["lat"]
+        span = dx * dx + dy * dy
+        t = F.when(span <= 2.220446049250313e-16, 0.0).otherwise(_clamp(((p["lon"] - s["a"]["lon"]) * dx + (p["lat"] - s["a"]["lat"]) * dy) / span, 0.0, 1.0))
+        return F.pow(p["lon"] - s["a"]["lon"] - dx * t, 2) + F.pow(p["lat"] - s["a"]["lat"] - dy * t, 2) <= most2
+
+    return F.exists(segments(line), near)
+
+
+def same_path(a: Column, b: Column) -> Column:
+    """Whether two lines run over the same ground: equal ends, and each other's points."""
+    ends = (planar2(F.element_at(a, 1), F.element_at(b, 1)) <= 1e-18) & (planar2(F.element_at(a, -1), F.element_at(b, -1)) <= 1e-18)
+    return ends & F.forall(a, lambda p: on_line(p, b)) & F.forall(b, lambda p: on_line(p, a))
+
+
+def ring_holds(p: Column, ring: Column) -> Column:
+    """Whether a point lies in a ring or on its boundary."""
+    closed = F.concat(ring, F.slice(ring, F.lit(1), F.lit(1)))
+    return on_line(p, closed) | in_ring(p["lon"], p["lat"], ring)
