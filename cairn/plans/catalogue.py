@@ -261,13 +261,13 @@ def nearest_vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest_vertex(bridge.points(spark, sf_dir), ["trace_id", "pos"], bridge.vertices(spark, sf_dir), 0.01).select("trace_id", "pos", "v", r("distance_m", 3).alias("distance_m"))
 
 
-_NEAR = """h AS (SELECT trace_id, pos, edge_id, round(hypot2, 6) AS distance_m FROM (SELECT trace_id, pos, edge_id, sqrt(power(hx + dx * t, 2e0) + power(hy + dy * t, 2e0)) AS hypot2 FROM (SELECT *, greatest(0e0, least(1e0, -(hx * dx + hy * dy) / (dx * dx + dy * dy))) AS t FROM (
+_NEAR = """h AS (SELECT trace_id, pos, edge_id, round(hypot2, 4) AS distance_m FROM (SELECT trace_id, pos, edge_id, sqrt(power(hx + dx * t, 2e0) + power(hy + dy * t, 2e0)) AS hypot2 FROM (SELECT *, greatest(0e0, least(1e0, -(hx * dx + hy * dy) / (dx * dx + dy * dy))) AS t FROM (
  SELECT trace_id, pos, edge_id, (lon1 - p.lon) * 111320e0 * cos(radians(p.lat)) AS hx, (lat1 - p.lat) * 110540e0 AS hy, (lon2 - lon1) * 111320e0 * cos(radians(p.lat)) AS dx, (lat2 - lat1) * 110540e0 AS dy FROM b_trace p, b_edge))) WHERE hypot2 <= 900e0)"""
 
 
 def _near(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     segs = bridge.edges(spark, sf_dir).select("edge_id", "lon1", "lat1", "lon2", "lat2", F.lit(0).alias("anchor"))
-    return spatial.nearest_edges(bridge.points(spark, sf_dir), ["trace_id", "pos"], segs, 900.0, k, 0.01)
+    return spatial.nearest_edges(bridge.points(spark, sf_dir), ["trace_id", "pos"], segs, 900.0, k, 0.01, digits=4)
 
 
 @query(view("SELECT trace_id, pos, arg_min(edge_id, struct_pack(d := distance_m, e := edge_id)) AS edge_id, round(min(distance_m), 4) AS distance_m FROM h GROUP BY ALL", _NEAR))
