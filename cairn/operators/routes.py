@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import physics
 from cairn.functions.vocab import is_restricted
+from cairn.state import stored
 
 #: Weights of quality, confidence that counts as low, bounds of grade bins.
 ROAD_WEIGHT, DOUBT_WEIGHT, ACCESS_WEIGHT = 0.70, 0.25, 0.50
@@ -301,7 +302,7 @@ def carried_ids(previous: DataFrame, now: DataFrame) -> DataFrame:
     both = now.select("key").distinct().join(previous.select("key", "identity"), "key", "left")
     new = both.where("identity is null").select("key")
     # New keys are counted by range, so that no task numbers them all.
-    parts = new.repartitionByRange("key").sortWithinPartitions("key").withColumn("p_", F.spark_partition_id())
+    parts = stored(new.repartitionByRange("key").withColumn("p_", F.spark_partition_id()), "ranges")
     parts = parts.withColumn("r_", F.row_number().over(Window.partitionBy("p_").orderBy("key")))
     before = parts.groupBy("p_").count().withColumn("b_", F.sum("count").over(Window.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)))
     top = previous.agg(F.coalesce(F.max("identity"), F.lit(0)).alias("top_"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,10 +50,15 @@ def csv_field(text: Column) -> Column:
 
 
 def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
-    """Both tables below path; a reader takes them only when both are committed."""
-    vertices.write.mode("overwrite").parquet(f"{path}/vertices")
-    edges.write.mode("overwrite").parquet(f"{path}/edges")
+    """Both tables in a new folder below path, and then a line in path/commits that names it:
+    a reader sees either this state or the one before, never half of one."""
+    folder = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    vertices.write.parquet(f"{path}/{folder}/vertices")
+    edges.write.parquet(f"{path}/{folder}/edges")
+    vertices.sparkSession.createDataFrame([(folder,)], "value string").coalesce(1).write.mode("append").text(f"{path}/commits")
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges")
+    """The (vertices, edges) that were committed last."""
+    folder = spark.read.text(f"{path}/commits").agg(F.max("value")).first()[0]
+    return spark.read.parquet(f"{path}/{folder}/vertices"), spark.read.parquet(f"{path}/{folder}/edges")

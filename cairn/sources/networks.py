@@ -94,12 +94,26 @@ def read_access_overlays(spark: SparkSession, path: str) -> DataFrame:
     said = _said("access", "status")
     permit = F.coalesce(*[truth(F.col("p")[k]) for k in PERMIT_KEYS])
     access = F.when(said.isNotNull(), vocab.from_tag(said, vocab.ACCESS)).when(permit, "restricted").when(~permit, "open").otherwise("closed")
-    season = lambda key: (F.split_part(_said(key), F.lit("-"), F.lit(1)).try_cast("int") * 100 + F.split_part(_said(key), F.lit("-"), F.lit(2)).try_cast("int"))
-    from cairn.functions.calendar import weekday_bits
-
+    from cairn.functions.calendar import minute, weekday_bits
+
+    def read(value, *keys: str):
+        """What is said, or an error where it can't be read."""
+        said = _said(*keys)
+        wrong = F.raise_error(F.concat(F.lit(f"feature cannot be read: {keys[0]} = "), said))
+        return F.when(said.isNull(), F.lit(None)).otherwise(F.coalesce(value(said), wrong))
+
+    def both(kind: str, value):
+        """The two ends of a window, of which none may be missing alone."""
+        first, last = _said(f"{kind}_from"), _said(f"{kind}_to")
+        half = F.when(first.isNull() != last.isNull(), F.raise_error(F.lit(f"feature has half a window: {kind}")))
+        return [F.coalesce(half, read(value, f"{kind}_{end}")).alias(f"{kind}_{end}") for end in ("from", "to")]
+
+    part = lambda x, i: F.split_part(x, F.lit("-"), F.lit(i)).try_cast("int")
+    month_day = lambda x: F.when(part(x, 1).between(1, 12) & part(x, 2).between(1, 31), part(x, 1) * 100 + part(x, 2))
+    date, time = lambda x: x.try_cast("date"), lambda x: F.when(minute(x).isNotNull(), x)
     window = F.struct(
-        _said("active_from", "from").try_cast("date").alias("from"), _said("active_to", "to").try_cast("date").alias("to"), season("season_from").alias("season_from"), season("season_to").alias("season_to"),
-        weekday_bits(_said("weekdays", "days")).alias("weekdays"), _said("time_from").alias("time_from"), _said("time_to").alias("time_to"),
+        read(date, "active_from", "from").alias("from"), read(date, "active_to", "to").alias("to"), *both("season", month_day),
+        read(weekday_bits, "weekdays", "days").alias("weekdays"), *both("time", time),
     )
     travel = _said("travel", "travel_direction", "direction", "oneway", "one_way")
     return _overlay(features(spark, path), F.coalesce(_said("name"), _said("id")).alias("name"), access.alias("access"), F.when(travel.isNotNull(), vocab.from_tag(travel, vocab.TRAVEL)).alias("travel"), F.coalesce(_unit(_said("confidence")), F.lit(0.9)).alias("confidence"), window.alias("window"))
