@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn import sinks
-from cairn.functions import calendar, crs, geo, physics, vocab
-from cairn.operators import build, enrich, graph, network, overlays, routes, spatial, traces
+from cairn.functions import calendar, crs, geo, identity, physics, vocab
+from cairn.operators import build, enrich, graph, library, network, overlays, routes, spatial, traces, walks
 from cairn.plans import bridge
 from cairn.plans.bridge import table
 from cairn.plans.registry import query
@@ -611,12 +611,45 @@ def file_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", classified(path)["adapter"].alias("adapter"))
 
 
+@query(view("SELECT route_id, 'shape ' || shape || '; distance ' || printf('%.2f', distance_m / 1000e0) || ' km; legs ' || n_legs AS summary, n_legs > 0 AS walked FROM m JOIN s USING (route_id)", ", ".join([METRICS, SHAPES])))
+def route_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The beginning of each route's one-line account, and whether it has legs."""
+    m = _measured(spark, sf_dir)
+    text = F.substring_index(walks.summary(), "; ascent", 1)
+    return m.select("route_id", F.concat(text, F.lit("; legs "), F.col("n_legs").cast("string")).alias("summary"), (F.col("n_legs") > 0).alias("walked"))
+
+
+@query(view("SELECT route_id, arg_max(to_v, seq) AS end_v, count(*) AS n_legs FROM b_leg GROUP BY route_id HAVING NOT bool_or(edge_id % 11 = 0 AND from_v > to_v)"))
+def walk_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes as walks over their edges, of which some may only be walked to the larger end."""
+    legs = bridge.legs(spark, sf_dir)
+    one_way = F.when(F.col("edge_id") % 11 == 0, "forward").otherwise("both").alias("travel")
+    edges = legs.select("edge_id", F.least("from_v", "to_v").alias("a"), F.greatest("from_v", "to_v").alias("b"), one_way, F.lit("open").alias("access")).distinct()
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("seq", "edge_id"))), lambda x: x["edge_id"])
+    routes_ = legs.groupBy(F.col("route_id").alias("walk_id")).agg(F.min("start_v").alias("start_v"), steps.alias("edges"))
+    bans = edges.limit(0).select(F.col("edge_id").alias("from_edge"), F.col("a").alias("via_v"), F.col("edge_id").alias("to_edge"))
+    return walks.walked(routes_, edges, bans).select(F.col("walk_id").alias("route_id"), "end_v", F.size("legs").cast("long").alias("n_legs"))
+
+
+@query(view("SELECT kind, value, count(*) AS n FROM (SELECT 'terrain' AS kind, terrain AS value FROM b_leg UNION ALL SELECT 'access', access FROM b_leg) GROUP BY ALL"))
+def leg_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.inventory(bridge.legs(spark, sf_dir), "terrain", "access")
+
+
+@query(view("SELECT DISTINCT edge_id, substr(sha256(printf('trail-region-v1:%.8f:%.8f:%.8f:%.8f', least(lon1, lon2), least(lat1, lat2), greatest(lon1, lon2), greatest(lat1, lat2))), 1, 24) AS region, lon1 <> lon2 AND lat1 <> lat2 AS valid FROM b_edge"))
+def region_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each edge's box as a region: its key, and whether it is one of some area."""
+    e = bridge.edges(spark, sf_dir)
+    box = [F.least("lon1", "lon2"), F.least("lat1", "lat2"), F.greatest("lon1", "lon2"), F.greatest("lat1", "lat2")]
+    return e.select("edge_id", identity.region_key(*box).alias("region"), identity.region_valid(*box, 1.0).alias("valid"))
+
+
 # -------------------------------------------------------------------------------- sinks
 @query()
 def gpx_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.gpx(bridge.points(spark, sf_dir), "trace_id")
 
 
-@query()
+@query(view("SELECT v, 'POINT Z (' || lon::VARCHAR || ' ' || lat::VARCHAR || ' ' || ele::VARCHAR || ')' AS wkt FROM b_vertex"))
 def wkt_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.vertices(spark, sf_dir).select("v", sinks.wkt_point(F.col("lon"), F.col("lat"), F.col("ele")).alias("wkt"))
