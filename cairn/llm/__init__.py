@@ -1,3 +1,3 @@
 """Operators of a training-data pipeline: mixing, language ID, WARC, sharding,
-audio fingerprints, packing, passage dedup, quality rules, Jaccard join and
-SentencePiece codec.  Nothing else in the library imports this subpackage."""
+audio fingerprints, packing, passage dedup, quality rules, Jaccard join,
+SentencePiece codec, periodic runs, whitening and decontamination.  Nothing else in the library imports this subpackage."""

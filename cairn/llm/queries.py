@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import scratch, table
+from cairn.llm.common import WORD, scratch, table
 
 #: Target weights of the labelled domains, and expected tokens per token of the input.
 MIX, GROWTH = {"good": 0.80, "low": 0.14, "toxic": 0.06}, 1.05
-#: Rows of an Arrow batch: texts may be long.
-ARROW_ROWS = "2000"
+#: Rows and bytes of an Arrow batch: texts may be long.
+ARROW_ROWS, ARROW_BYTES = "2000", str(32 << 20)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,7 @@ ORACLES: dict[str, str] = {}
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
         return f(spark, sf_dir)
 
     QUERIES[f.__name__] = run
@@ -152,3 +153,69 @@ def op6_packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_packed(packed(table(spark, sf_dir, "documents"), path("byte_bpe_50k.tiktoken"), PATTERN), place)
     rows = unpacked(spark.read.parquet(place))
     return rows.select("doc_id", "piece", "n_pieces", "pack_id", "first", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose hash ends in 0 repeat their words from one of them on, as the contract
+    of this query asks."""
+    from cairn.llm.periodic import periodic_runs
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = F.when(n > 0, g % n).otherwise(0)
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        times = (F.floor((n - a) / p) + 1).cast("int")
+        tail = F.slice(F.flatten(F.array_repeat(F.slice(w, (a + 1).cast("int"), p.cast("int")), times)), F.lit(1), (n - a).cast("int"))
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a.cast("int")), tail), " ")
+
+    # the words are bound to a name, else the pattern would be matched for each use
+    text = F.transform(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), repeated)[0]
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(h % 10 == 0, text).otherwise(F.col("text")).alias("text"))
+    out = periodic_runs(docs)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    length, start, period = best["length"], -best["col2"], -best["col3"]
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("embedding")
+
+
+@query
+def op13_contaminated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.decontamination import contaminated_spans
+
+    out = contaminated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["words"])
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+ORACLES["op13_contaminated_documents"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+t AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i:i + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+m AS (SELECT DISTINCT m FROM t),
+x AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS g FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, m WHERE len(w) >= m)),
+o AS (SELECT DISTINCT x.doc_id, x.i, x.m, t.item_id FROM x JOIN t ON x.m = t.m AND x.g = t.g),
+h AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM o) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM o) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(n.n, 0)::BIGINT AS n_items, sha256(coalesce(n.items, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
