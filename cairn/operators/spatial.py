@@ -1,6 +1,6 @@
 """Spatial joins: points, lines and rings meet through the cells of a pyramid of grids.
 
-Every row has a box and, by its box's size, a level: cells of level l are 4^l times the
+Every row has a box and, by its box's size, a level: cells of level l are 2^l times the
 smallest cell, so that a box of any size touches four cells of its level at most.  Two boxes
 meet in a cell of the coarser one's level, and the pair is kept in the cell that holds the
 lower left corner of what they share, so that none is listed twice.  The exact test follows.
@@ -8,14 +8,16 @@ Hot cells are split by Spark's skew join; the cell size is a parameter, never th
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import geo
-from cairn.state import stored
+from cairn.state import dropped, stored
 
 #: Levels of the pyramid at most.
-LEVELS = 16
+LEVELS = 32
 
 
 def cell(lon: Column, lat: Column, size: Column | float) -> Column:
@@ -34,7 +36,7 @@ def boxed(df: DataFrame, side: str, west: Column, south: Column, east: Column, n
     """df with a box and its level, in columns that start with `side`; rows without one go."""
     df = df.withColumns({f"{side}_w": west, f"{side}_s": south, f"{side}_e": east, f"{side}_n": north})
     wide = F.greatest(F.col(f"{side}_e") - F.col(f"{side}_w"), F.col(f"{side}_n") - F.col(f"{side}_s"))
-    level = F.when(wide > size, F.least(F.ceil(F.log(4.0, wide / size)), F.lit(LEVELS - 1))).otherwise(0).cast("int")
+    level = F.when(wide > size, F.least(F.ceil(F.log(2.0, wide / size)), F.lit(LEVELS - 1))).otherwise(0).cast("int")
     return df.withColumn(f"{side}_l", level).where(" and ".join(f"{side}_{k} is not null" for k in "wsen"))
 
 
@@ -61,10 +63,10 @@ def met(a: DataFrame, b: DataFrame, size: float, x: str = "a", y: str = "b") ->
         levels = other.agg(F.collect_set(f"{o}_l")).scalar()
         own = F.col(f"{side}_l")
         rows = df.withColumn("v_", levels).withColumn("l_", F.explode(F.array_union(F.array(own), F.filter("v_", lambda n: n > own)))).drop("v_")
-        return rows.withColumn("c_", F.explode(cells_of_box(*[F.col(f"{side}_{k}") for k in "wsen"], size * F.pow(F.lit(4.0), "l_"))))
+        return rows.withColumn("c_", F.explode(cells_of_box(*[F.col(f"{side}_{k}") for k in "wsen"], size * F.pow(F.lit(2.0), "l_"))))
 
     both = listed(a, x, b, y).join(listed(b, y, a, x), ["l_", "c_"])
-    c, sz = F.col, size * F.pow(F.lit(4.0), F.col("l_"))
+    c, sz = F.col, size * F.pow(F.lit(2.0), F.col("l_"))
     meet = (c(f"{x}_w") <= c(f"{y}_e")) & (c(f"{y}_w") <= c(f"{x}_e")) & (c(f"{x}_s") <= c(f"{y}_n")) & (c(f"{y}_s") <= c(f"{x}_n"))
     here = (c("l_") == F.greatest(f"{x}_l", f"{y}_l")) & (c("c_") == cell(F.greatest(f"{x}_w", f"{y}_w"), F.greatest(f"{x}_s", f"{y}_s"), sz))
     return both.where(meet & here).drop("l_", "c_", *[f"{s}_{k}" for s in (x, y) for k in "wsenl"])
@@ -97,7 +99,24 @@ def nearest_vertex(points: DataFrame, key: list[str], vertices: DataFrame, size:
     return out.select(*points.columns, F.col("best_.v").alias("v"), geo.haversine(F.col("lon"), F.col("lat"), F.col("best_.vlon"), F.col("best_.vlat")).alias("distance_m"))
 
 
-def nearest_edges(points: DataFrame, key: list[str], edges: DataFrame, max_m: float, k: int, size: float, digits: int = 6) -> DataFrame:
+def _hits(points: DataFrame, key: list[str], edges: DataFrame, max_m: float, digits: int) -> DataFrame:
+    """points' key and lon, lat with the segments of edges within max_m, as d_ and share t_.
+    The smallest cell is as large as a point's box, so that it touches four at most."""
+    c = F.col
+    dlat = max_m / geo.LAT_SHORT_M
+    dlon = max_m / (geo.LAT_M * F.greatest(F.abs(F.cos(F.radians("lat"))), F.lit(0.01)))
+    size = min(2 * dlat, 360.0)
+    a = boxed_points(points.select(*key, "lon", "lat"), "a", size, dlon, dlat)
+    d, t = geo.projection(c("lon"), c("lat"), c("lon1"), c("lat1"), c("lon2"), c("lat2"))
+    return met(a, boxed_segments(edges, "b", size), size).withColumn("d_", F.round(d, digits)).withColumn("t_", t).where(c("d_") <= max_m)
+
+
+def edges_within(points: DataFrame, key: list[str], edges: DataFrame, max_m: float, digits: int = 6) -> DataFrame:
+    """(key columns, edge_id, distance_m): all edges within max_m metres of each point."""
+    return _hits(points, key, edges, max_m, digits).groupBy(*key, "edge_id").agg(F.min("d_").alias("distance_m"))
+
+
+def nearest_edges(points: DataFrame, key: list[str], edges: DataFrame, max_m: float, k: int, digits: int = 6) -> DataFrame:
     """(key columns, edge_id, distance_m, anchor, progress, rank): of edges within max_m metres
     of each point the k nearest; ties (to `digits` decimals of a metre, for edges that share
     an end differ by rounding there) by anchor, then edge id.  edges: (edge_id, lon1, lat1,
@@ -107,12 +126,8 @@ def nearest_edges(points: DataFrame, key: list[str], edges: DataFrame, max_m: fl
     Each edge's best segment and then the k best edges combine before the exchange by key;
     no window ranks all that is near."""
     c = F.col
-    dlat = max_m / geo.LAT_SHORT_M
-    dlon = max_m / (geo.LAT_M * F.greatest(F.abs(F.cos(F.radians("lat"))), F.lit(0.01)))
-    a = boxed_points(points.select(*key, "lon", "lat"), "a", size, dlon, dlat)
-    d, t = geo.projection(c("lon"), c("lat"), c("lon1"), c("lat1"), c("lon2"), c("lat2"))
-    hits = met(a, boxed_segments(edges, "b", size), size).withColumn("d_", F.round(d, digits)).where(c("d_") <= max_m)
-    place = F.struct(c("d_").alias("distance_m"), "anchor", "edge_id", t.alias("progress"))
+    place = F.struct(c("d_").alias("distance_m"), "anchor", "edge_id", c("t_").alias("progress"))
+    hits = _hits(points, key, edges, max_m, digits)
     if k == 1:
         best = hits.groupBy(*key).agg(F.min(place).alias("p"))
         return best.select(*key, "p.edge_id", "p.distance_m", "p.anchor", "p.progress", F.lit(1).alias("rank"))
@@ -121,6 +136,24 @@ def nearest_edges(points: DataFrame, key: list[str], edges: DataFrame, max_m: fl
     return best.select(*key, F.posexplode("p").alias("i", "p")).select(*key, "p.edge_id", "p.distance_m", "p.anchor", "p.progress", (c("i") + 1).alias("rank"))
 
 
+def nearest_edge_at_any_distance(points: DataFrame, key: list[str], edges: DataFrame, first_m: float = 32.0, rounds: int = 11, digits: int = 6) -> DataFrame:
+    """(key columns, edge_id, distance_m, anchor, progress): the edge nearest to each point.
+    Points look within first_m metres; those that find none look four times as far, until that
+    spans the globe, so what a point meets is what is about as near as its nearest edge."""
+    left, found = points, []
+    for k in range(rounds):
+        best = stored(nearest_edges(left, key, edges, first_m * 4**k, 1, digits).drop("rank"), "nearest")
+        found.append(best)
+        rest = stored(left.join(best, key, "left_anti"), "left")
+        if k:
+            dropped(left)
+        left = rest
+        if left.isEmpty():
+            break
+    dropped(left)
+    return reduce(DataFrame.union, found)
+
+
 def points_in_rings(points: DataFrame, rings: DataFrame, size: float) -> DataFrame:
     """(point columns, ring_id): the rings that hold each point.  rings: (ring_id, ring)."""
     both = met(boxed_points(points, "a", size), boxed_line(rings, "b", "ring", size), size)

@@ -11,10 +11,11 @@ c = F.col
 def walked(walks: DataFrame, edges: DataFrame, bans: DataFrame) -> DataFrame:
     """(walk_id, end_v, legs array<struct<edge_id, from_v, to_v>>) of those walks (walk_id,
     start_v, edges array) that are legal: each edge leaves where the last one ended, its
-    travel rule lets it, and no turn onto it is banned.  A walk without edges ends where it
-    starts.  edges: (edge_id, a, b, travel, access); bans: (from_edge, via_v, to_edge)."""
+    travel rule lets it, and no turn onto it is banned.  Closed and private edges may be walked:
+    access is a matter of constraints.  A walk without edges ends where it starts.  edges:
+    (edge_id, a, b, travel); bans: (from_edge, via_v, to_edge)."""
     rows = walks.select("walk_id", "start_v", F.posexplode_outer("edges").alias("seq", "edge_id"))
-    e = edges.where(~F.coalesce(c("access").isin("closed", "private"), F.lit(False))).select("edge_id", "a", "b", F.coalesce("travel", F.lit("both")).alias("travel"))
+    e = edges.select("edge_id", "a", "b", F.coalesce("travel", F.lit("both")).alias("travel"))
     step = F.struct("seq", "edge_id", "a", "b", "travel")
     steps = rows.join(e, "edge_id", "left").groupBy("walk_id", "start_v").agg(F.array_sort(F.collect_list(F.when(c("seq").isNotNull(), step))).alias("steps"))
     leg = "array<struct<edge_id:bigint,from_v:bigint,to_v:bigint>>"
@@ -45,13 +46,17 @@ def line_starts(walks: DataFrame, edges: DataFrame, bans: DataFrame, vertices: D
     return near.groupBy("walk_id").agg(F.min_by("start_v", F.struct(d2, "start_v")).alias("start_v"))
 
 
-def snap_statistics(segments: DataFrame, max_snap_m: float) -> DataFrame:
-    """(trace_id, segment_count, snapped_segment_count, rejected_segment_count, max_snap_m,
-    mean_snap_m) of a trace's segments with the distance_m of the edge nearest to each one's
-    middle (null: no edge at all)."""
+def snap_statistics(segments: DataFrame, max_snap_m: float, apart: DataFrame | None = None) -> DataFrame:
+    """(trace_id, segment_count, snapped_segment_count, rejected_segment_count,
+    disconnected_transition_count, max_snap_m, mean_snap_m) of a trace's segments with the
+    distance_m of the edge nearest to each one's middle (null: no edge at all).  apart: a row
+    (trace_id) per transition between edges that no way joins."""
     ok = F.coalesce(c("distance_m") <= max_snap_m, F.lit(False))
     count = lambda x: F.sum(x.cast("long"))
-    return segments.groupBy("trace_id").agg(F.count("*").alias("segment_count"), count(ok).alias("snapped_segment_count"), count(~ok).alias("rejected_segment_count"), F.coalesce(F.max("distance_m"), F.lit(0.0)).alias("max_snap_m"), F.coalesce(F.avg("distance_m"), F.lit(0.0)).alias("mean_snap_m"))
+    rows = segments.groupBy("trace_id").agg(F.count("*").alias("segment_count"), count(ok).alias("snapped_segment_count"), count(~ok).alias("rejected_segment_count"), F.coalesce(F.max("distance_m"), F.lit(0.0)).alias("max_snap_m"), F.coalesce(F.avg("distance_m"), F.lit(0.0)).alias("mean_snap_m"))
+    cut = apart.groupBy("trace_id").agg(F.count("*").alias("n_")) if apart is not None else rows.select("trace_id", F.lit(0).cast("long").alias("n_")).limit(0)
+    rows = rows.join(cut, "trace_id", "left").withColumn("disconnected_transition_count", F.coalesce("n_", F.lit(0).cast("long")))
+    return rows.select("trace_id", "segment_count", "snapped_segment_count", "rejected_segment_count", "disconnected_transition_count", "max_snap_m", "mean_snap_m")
 
 
 def summary(m: dict[str, Column] | None = None) -> Column:

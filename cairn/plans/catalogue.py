@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from cairn import sinks
 from cairn.functions import calendar, crs, geo, identity, physics, vocab
-from cairn.operators import build, enrich, graph, library, network, overlays, routes, spatial, traces, walks
+from cairn.operators import build, enrich, graph, library, matching, network, overlays, routes, spatial, traces, walks
 from cairn.plans import bridge
 from cairn.plans.bridge import table
 from cairn.plans.registry import query
 from cairn.sources.networks import classified
+from cairn.state import stored
 
 BOUNDS = routes.Bounds()
 r = F.round
@@ -267,7 +268,7 @@ _NEAR = """h AS (SELECT trace_id, pos, edge_id, round(hypot2, 4) AS distance_m F
 
 def _near(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     segs = bridge.edges(spark, sf_dir).select("edge_id", "lon1", "lat1", "lon2", "lat2", F.lit(0).alias("anchor"))
-    return spatial.nearest_edges(bridge.points(spark, sf_dir), ["trace_id", "pos"], segs, 900.0, k, 0.01, digits=4)
+    return spatial.nearest_edges(bridge.points(spark, sf_dir), ["trace_id", "pos"], segs, 900.0, k, digits=4)
 
 
 @query(view("SELECT trace_id, pos, arg_min(edge_id, struct_pack(d := distance_m, e := edge_id)) AS edge_id, round(min(distance_m), 4) AS distance_m FROM h GROUP BY ALL", _NEAR))
@@ -653,3 +654,137 @@ def gpx_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(view("SELECT v, 'POINT Z (' || lon::VARCHAR || ' ' || lat::VARCHAR || ' ' || ele::VARCHAR || ')' AS wkt FROM b_vertex"))
 def wkt_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.vertices(spark, sf_dir).select("v", sinks.wkt_point(F.col("lon"), F.col("lat"), F.col("ele")).alias("wkt"))
+
+
+# ------------------------------------------------------------------------------- map matching
+SNAP_M = 150.0
+
+
+def _oneway_sql() -> str:
+    return "e AS (SELECT *, CASE edge_id % 5 WHEN 0 THEN 'forward' WHEN 1 THEN 'backward' ELSE 'both' END AS travel FROM b_edge), w AS (SELECT edge_id, a AS f, b AS t, m FROM e WHERE travel <> 'backward' UNION ALL SELECT edge_id, b, a, m FROM e WHERE travel <> 'forward')"
+
+
+def _oneway(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bridge's edges as lines, some of them one-way."""
+    point = lambda k: F.struct(F.col(f"lon{k}").alias("lon"), F.col(f"lat{k}").alias("lat"), F.lit(None).cast("double").alias("ele"))
+    rule = F.when(F.col("edge_id") % 5 == 0, "forward").when(F.col("edge_id") % 5 == 1, "backward").otherwise("both")
+    return bridge.edges(spark, sf_dir).select("edge_id", "a", "b", "m", rule.alias("travel"), F.array(point(1), point(2)).alias("line"))
+
+
+def _projection_sql(name: str, source: str, x: str, y: str, keep: str) -> str:
+    """name (keep, edge_id, d, t): each point of source on each edge."""
+    inner = f"SELECT {keep}, edge_id, (lon1 - {x}) * 111320e0 * cos(radians({y})) AS hx, (lat1 - {y}) * 110540e0 AS hy, (lon2 - lon1) * 111320e0 * cos(radians({y})) AS dx, (lat2 - lat1) * 110540e0 AS dy FROM {source}"
+    return f"{name} AS (SELECT {keep}, edge_id, round(sqrt(power(hx + dx * t, 2e0) + power(hy + dy * t, 2e0)), 6) AS d, t FROM (SELECT *, greatest(0e0, least(1e0, -(hx * dx + hy * dy) / (dx * dx + dy * dy))) AS t FROM ({inner})))"
+
+
+def _ways_sql(name: str, asked: str, rounds: int = 14) -> str:
+    """name (start_v, target, entry, d, edges): least ways of asked (start_v, target, entry, most)."""
+    out = [f"{name}0 AS (SELECT start_v, target, entry, max(most) AS most, start_v AS v, 0e0 AS d, []::BIGINT[] AS edges FROM {asked} GROUP BY ALL)"]
+    for i in range(rounds):
+        out.append(f"{name}{i + 1} AS (SELECT start_v, target, entry, any_value(most) AS most, v, min(d) AS d, arg_min(edges, struct_pack(d := d, n := len(edges), e := edges)) AS edges FROM (SELECT * FROM {name}{i} UNION ALL SELECT start_v, target, entry, most, t, d + m, list_append(edges, edge_id) FROM {name}{i} JOIN w ON f = v AND edge_id <> target WHERE d + m <= most) GROUP BY start_v, target, entry, v)")
+    return ", ".join([*out, f"{name} AS (SELECT start_v, target, entry, d, edges FROM {name}{rounds} WHERE v = entry)"])
+
+
+_HAV = "2e0 * 6371008.8e0 * asin(sqrt(power(sin(radians(y2 - y1) / 2e0), 2e0) + cos(radians(y1)) * cos(radians(y2)) * power(sin(radians(x2 - x1) / 2e0), 2e0)))"
+_ANCHORS = ", ".join(
+    [
+        _oneway_sql(),
+        "sg AS (SELECT * FROM (SELECT trace_id, pos - 1 AS seg, lon AS x1, lat AS y1, lead(lon) OVER (PARTITION BY trace_id ORDER BY pos) AS x2, lead(lat) OVER (PARTITION BY trace_id ORDER BY pos) AS y2 FROM b_trace) WHERE x2 IS NOT NULL)",
+        _projection_sql("pd", "(SELECT trace_id, seg, x1 + (x2 - x1) * 0.5e0 AS mx, y1 + (y2 - y1) * 0.5e0 AS my FROM sg), e", "mx", "my", "trace_id, seg"),
+        "nr AS (SELECT trace_id, seg, arg_min(edge_id, struct_pack(d := d, e := edge_id)) AS edge_id, min(d) AS d FROM pd GROUP BY ALL)",
+        f"ch AS (SELECT * FROM (SELECT nr.*, lag(edge_id) OVER (PARTITION BY trace_id ORDER BY seg) AS was FROM nr WHERE d <= {num(SNAP_M)}) WHERE was IS NULL OR was <> edge_id)",
+        _projection_sql("p1", "ch JOIN sg USING (trace_id, seg) JOIN e USING (edge_id)", "x1", "y1", "trace_id, seg"),
+        _projection_sql("p2", "ch JOIN sg USING (trace_id, seg) JOIN e USING (edge_id)", "x2", "y2", "trace_id, seg"),
+        f"a0 AS (SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY seg) AS n, seg, edge_id, CASE WHEN p2.t >= p1.t THEN a ELSE b END AS entry, CASE WHEN p2.t >= p1.t THEN b ELSE a END AS leave, travel <> CASE WHEN p2.t >= p1.t THEN 'backward' ELSE 'forward' END AS live, greatest(3e0 * {_HAV} + {num(2 * SNAP_M)}, 50e0) AS budget FROM ch JOIN sg USING (trace_id, seg) JOIN p1 USING (trace_id, seg, edge_id) JOIN p2 USING (trace_id, seg, edge_id) JOIN e USING (edge_id))",
+    ]
+)
+_MATCHED = ", ".join(
+    [
+        _ANCHORS,
+        f"sh AS (SELECT x.trace_id, x.n, max(z.n) AS far FROM a0 x JOIN a0 z ON z.trace_id = x.trace_id AND z.edge_id = x.edge_id AND z.entry = x.entry AND z.n >= x.n + 2 WHERE NOT EXISTS (SELECT 1 FROM pd WHERE pd.trace_id = x.trace_id AND pd.edge_id = x.edge_id AND pd.seg BETWEEN x.seg AND z.seg AND pd.d > {num(SNAP_M)}) GROUP BY ALL)",
+        "gr AS (SELECT trace_id, 1::BIGINT AS n FROM (SELECT DISTINCT trace_id FROM a0) UNION ALL SELECT gr.trace_id, coalesce(sh.far, gr.n) + 1 FROM gr LEFT JOIN sh ON sh.trace_id = gr.trace_id AND sh.n = gr.n WHERE EXISTS (SELECT 1 FROM a0 WHERE a0.trace_id = gr.trace_id AND a0.n = coalesce(sh.far, gr.n) + 1))",
+        "a1 AS (SELECT a0.* FROM a0 JOIN gr USING (trace_id, n))",
+        "a2 AS (SELECT *, last_value(CASE WHEN live THEN leave END IGNORE NULLS) OVER p AS here_v, first_value(live) OVER q AS starts, lag(n) OVER q IS NULL AS is_first, lag(edge_id) OVER q AS was_edge, lag(seg) OVER q AS was_seg, lag(budget) OVER q AS was_budget FROM a1 WINDOW p AS (PARTITION BY trace_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q AS (PARTITION BY trace_id ORDER BY n))",
+        "aq AS (SELECT here_v AS start_v, edge_id AS target, entry, budget AS most FROM a2 WHERE starts AND NOT is_first AND live AND here_v <> entry)",
+        _ways_sql("k", "aq"),
+        "a3 AS (SELECT a2.*, coalesce(live AND here_v = a2.entry, false) AS direct, k.edges AS way FROM a2 LEFT JOIN k ON k.start_v = here_v AND k.target = edge_id AND k.entry = a2.entry AND k.d <= budget AND starts AND NOT is_first AND live AND here_v <> a2.entry)",
+    ]
+)
+_APART = ", ".join(
+    [
+        "f0 AS (SELECT trace_id, was_seg, seg, was_edge AS before, edge_id AS after, greatest(budget, was_budget) AS most FROM a3 WHERE starts AND NOT is_first AND NOT direct AND way IS NULL)",
+        "f1 AS (SELECT DISTINCT before, after, f0.most, o.t AS start_v, i.f AS entry FROM f0 JOIN w o ON o.edge_id = before JOIN w i ON i.edge_id = after)",
+        "fq AS (SELECT start_v, after AS target, entry, most FROM f1)",
+        _ways_sql("l", "fq"),
+        "f2 AS (SELECT DISTINCT before, after, most FROM f1 LEFT JOIN l ON l.start_v = f1.start_v AND l.target = after AND l.entry = f1.entry WHERE f1.start_v = f1.entry OR l.d <= most)",
+        "ap AS (SELECT trace_id, least(was_seg, seg) AS first, greatest(was_seg, seg) AS last, before, after FROM f0 ANTI JOIN f2 USING (before, after, most) UNION ALL SELECT trace_id, seg, seg, edge_id, edge_id FROM a3 WHERE is_first AND NOT live)",
+    ]
+)
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(view("SELECT trace_id, n::INT AS n, seg::INT AS seg, edge_id, entry, live, round(budget, 3) AS budget_m FROM a0", _ANCHORS))
+def map_match_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the nearest edge of each trace's segments changes, and the end that it is entered by."""
+    edges = stored(_oneway(spark, sf_dir), "edges")
+    seg = stored(matching.trace_segments(bridge.points(spark, sf_dir)), "segments")
+    near = spatial.nearest_edge_at_any_distance(matching.middles(seg), ["trace_id", "seg"], matching.edge_segments(edges))
+    return matching.anchors(seg, near, edges, SNAP_M).select("trace_id", "n", "seg", "edge_id", "entry", "live", r("budget_m", 3).alias("budget_m"))
+
+
+def _covered(spark: SparkSession, sf_dir: str) -> matching.Coverage:
+    none = spark.createDataFrame([], "from_edge bigint, via_v bigint, to_edge bigint")
+    return matching.coverage(stored(bridge.points(spark, sf_dir), "points"), stored(_oneway(spark, sf_dir), "edges"), none, SNAP_M)
+
+
+@query(
+    _recursive(
+        view(
+            "SELECT trace_id, count(*) AS n_legs, string_agg(edge_id::VARCHAR, '-' ORDER BY n, k) AS edges FROM (SELECT trace_id, n, unnest(range(1, len(s) + 1)) AS k, unnest(s) AS edge_id FROM (SELECT trace_id, n, list_append(CASE WHEN n > z THEN coalesce(way, []::BIGINT[]) ELSE []::BIGINT[] END, edge_id) AS s FROM (SELECT *, coalesce(max(CASE WHEN starts AND NOT is_first AND live AND NOT direct AND way IS NULL THEN n END) OVER (PARTITION BY trace_id), 0) AS z FROM a3) WHERE starts AND live AND n >= z)) GROUP BY trace_id",
+            _MATCHED,
+        )
+    )
+)
+def map_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges that each trace walked, connected by shortest legal ways."""
+    legs = _covered(spark, sf_dir).legs.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("seq", "edge_id"))).alias("l"))
+    return legs.select("trace_id", F.size("l").cast("bigint").alias("n_legs"), F.concat_ws("-", F.transform("l", lambda x: x["edge_id"].cast("string"))).alias("edges"))
+
+
+@query(
+    _recursive(
+        view(
+            "SELECT trace_id, kind, min(first)::INT AS first_segment, max(last)::INT AS last_segment, CASE WHEN count(near) = count(*) AND min(near) = max(near) THEN min(near)::VARCHAR END AS nearest_edge, CASE WHEN count(d) = count(*) THEN round(max(d), 4) END AS nearest_distance_m, arg_min(before, struct_pack(f := first, l := last, b := before, a := after))::VARCHAR AS before_edge, arg_max(after, struct_pack(f := first, l := last, b := before, a := after))::VARCHAR AS after_edge FROM (SELECT *, sum(CASE WHEN first <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY trace_id, run ORDER BY first, last, before, after ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT *, max(last) OVER (PARTITION BY trace_id, run ORDER BY first, last, before, after ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT *, sum(CASE WHEN kind = was THEN 0 ELSE 1 END) OVER (PARTITION BY trace_id ORDER BY first, last, kind, before, after ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(kind) OVER (PARTITION BY trace_id ORDER BY first, last, kind, before, after) AS was FROM (SELECT trace_id, 'beyond-network' AS kind, seg AS first, seg AS last, edge_id AS near, d, NULL::BIGINT AS before, NULL::BIGINT AS after FROM nr WHERE d > "
+            + num(SNAP_M)
+            + " UNION ALL SELECT trace_id, 'disconnected-network', first, last, NULL, NULL, before, after FROM ap))))) GROUP BY trace_id, run, part, kind",
+            f"{_MATCHED}, {_APART}",
+        )
+    )
+)
+def map_match_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where traces are off the network, and where the network doesn't join what they walked."""
+    ids = {k: F.col(k).cast("string") for k in ("nearest_edge", "before_edge", "after_edge")}
+    return _covered(spark, sf_dir).gaps.withColumns(ids | {"nearest_distance_m": r("nearest_distance_m", 4)})
+
+
+@query(
+    _recursive(
+        view(
+            f"SELECT trace_id, count(*) AS segment_count, sum((d <= {num(SNAP_M)})::BIGINT)::BIGINT AS snapped_segment_count, sum((d > {num(SNAP_M)})::BIGINT)::BIGINT AS rejected_segment_count, coalesce(any_value(c), 0)::BIGINT AS disconnected_transition_count, round(max(d), 4) AS max_snap_m, round(avg(d), 4) AS mean_snap_m FROM nr LEFT JOIN (SELECT trace_id, count(*) AS c FROM ap GROUP BY ALL) USING (trace_id) GROUP BY trace_id",
+            f"{_MATCHED}, {_APART}",
+        )
+    )
+)
+def map_match_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _covered(spark, sf_dir).stats.withColumns({k: r(k, 4) for k in ("max_snap_m", "mean_snap_m")})
+
+
+@query()
+def seed_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces as routes: start, end and whether they close."""
+    none = spark.createDataFrame([], "from_edge bigint, via_v bigint, to_edge bigint")
+    found, _ = matching.seeds(stored(bridge.points(spark, sf_dir), "points"), stored(_oneway(spark, sf_dir), "edges"), none, bridge.vertices(spark, sf_dir), SNAP_M)
+    return found.select("trace_id", "start_v", "end_v", "closed_loop", F.size("edges").alias("n_edges"), r("distance_m", 3).alias("distance_m"))
