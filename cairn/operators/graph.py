@@ -144,8 +144,14 @@ def loops(ways: DataFrame, starts: DataFrame, most_edges: int, least_m: float, m
         if n < most_edges:
             on = grown.where(~F.array_contains("seen", F.col("to_v")))
             path = stored(on.select("start", F.col("to_v").alias("at"), F.col("last").alias("was"), F.concat("seen", F.array("to_v")).alias("seen"), "edges", F.col("m").alias("so_far")), "paths")
+    return loops_once(out)
+
+
+def loops_once(loops: DataFrame) -> DataFrame:
+    """Loops (start, edges, m) listed once, whichever way round: in the direction whose first
+    edge is smaller than its last, or in the other one where only that is there."""
     turn = F.struct((F.get("edges", F.lit(0)) > F.element_at("edges", -1)).alias("other"), "edges", "m")
-    one = out.groupBy("start", F.least(F.col("edges"), F.reverse("edges")).alias("both")).agg(F.min(turn).alias("p"))
+    one = loops.groupBy("start", F.least(F.col("edges"), F.reverse("edges")).alias("both")).agg(F.min(turn).alias("p"))
     return one.select("start", "p.edges", "p.m")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn import sinks
 from cairn.functions import calendar, crs, geo, identity, physics, vocab
-from cairn.operators import build, enrich, graph, library, matching, network, overlays, routes, spatial, traces, walks
+from cairn.operators import build, enrich, graph, library, matching, network, overlays, returns, routes, spatial, traces, walks
 from cairn.plans import bridge
 from cairn.plans.bridge import table
 from cairn.plans.registry import query
@@ -757,7 +757,7 @@ def map_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _recursive(
         view(
-            "SELECT trace_id, kind, min(first)::INT AS first_segment, max(last)::INT AS last_segment, CASE WHEN count(near) = count(*) AND min(near) = max(near) THEN min(near)::VARCHAR END AS nearest_edge, CASE WHEN count(d) = count(*) THEN round(max(d), 4) END AS nearest_distance_m, arg_min(before, struct_pack(f := first, l := last, b := before, a := after))::VARCHAR AS before_edge, arg_max(after, struct_pack(f := first, l := last, b := before, a := after))::VARCHAR AS after_edge FROM (SELECT *, sum(CASE WHEN first <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY trace_id, run ORDER BY first, last, before, after ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT *, max(last) OVER (PARTITION BY trace_id, run ORDER BY first, last, before, after ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT *, sum(CASE WHEN kind = was THEN 0 ELSE 1 END) OVER (PARTITION BY trace_id ORDER BY first, last, kind, before, after ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(kind) OVER (PARTITION BY trace_id ORDER BY first, last, kind, before, after) AS was FROM (SELECT trace_id, 'beyond-network' AS kind, seg AS first, seg AS last, edge_id AS near, d, NULL::BIGINT AS before, NULL::BIGINT AS after FROM nr WHERE d > "
+            "SELECT trace_id, kind, min(first)::INT AS first_segment, max(last)::INT AS last_segment, CASE WHEN count(near) = count(*) AND min(near) = max(near) THEN min(near)::VARCHAR END AS nearest_edge, CASE WHEN count(d) = count(*) THEN max(d) END AS nearest_distance_m, arg_min(before, struct_pack(f := first, l := last, b := before, a := after))::VARCHAR AS before_edge, arg_max(after, struct_pack(f := first, l := last, b := before, a := after))::VARCHAR AS after_edge FROM (SELECT *, sum(CASE WHEN first <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY trace_id, run ORDER BY first, last, before, after ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT *, max(last) OVER (PARTITION BY trace_id, run ORDER BY first, last, before, after ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT *, sum(CASE WHEN kind = was THEN 0 ELSE 1 END) OVER (PARTITION BY trace_id ORDER BY first, last, kind, before, after ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(kind) OVER (PARTITION BY trace_id ORDER BY first, last, kind, before, after) AS was FROM (SELECT trace_id, 'beyond-network' AS kind, seg AS first, seg AS last, edge_id AS near, d, NULL::BIGINT AS before, NULL::BIGINT AS after FROM nr WHERE d > "
             + num(SNAP_M)
             + " UNION ALL SELECT trace_id, 'disconnected-network', first, last, NULL, NULL, before, after FROM ap))))) GROUP BY trace_id, run, part, kind",
             f"{_MATCHED}, {_APART}",
@@ -767,19 +767,19 @@ def map_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def map_match_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where traces are off the network, and where the network doesn't join what they walked."""
     ids = {k: F.col(k).cast("string") for k in ("nearest_edge", "before_edge", "after_edge")}
-    return _covered(spark, sf_dir).gaps.withColumns(ids | {"nearest_distance_m": r("nearest_distance_m", 4)})
+    return _covered(spark, sf_dir).gaps.withColumns(ids)
 
 
 @query(
     _recursive(
         view(
-            f"SELECT trace_id, count(*) AS segment_count, sum((d <= {num(SNAP_M)})::BIGINT)::BIGINT AS snapped_segment_count, sum((d > {num(SNAP_M)})::BIGINT)::BIGINT AS rejected_segment_count, coalesce(any_value(c), 0)::BIGINT AS disconnected_transition_count, round(max(d), 4) AS max_snap_m, round(avg(d), 4) AS mean_snap_m FROM nr LEFT JOIN (SELECT trace_id, count(*) AS c FROM ap GROUP BY ALL) USING (trace_id) GROUP BY trace_id",
+            f"SELECT trace_id, count(*) AS segment_count, sum((d <= {num(SNAP_M)})::BIGINT)::BIGINT AS snapped_segment_count, sum((d > {num(SNAP_M)})::BIGINT)::BIGINT AS rejected_segment_count, coalesce(any_value(c), 0)::BIGINT AS disconnected_transition_count, max(d) AS max_snap_m, round(avg(d), 4) AS mean_snap_m FROM nr LEFT JOIN (SELECT trace_id, count(*) AS c FROM ap GROUP BY ALL) USING (trace_id) GROUP BY trace_id",
             f"{_MATCHED}, {_APART}",
         )
     )
 )
 def map_match_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _covered(spark, sf_dir).stats.withColumns({k: r(k, 4) for k in ("max_snap_m", "mean_snap_m")})
+    return _covered(spark, sf_dir).stats.withColumn("mean_snap_m", r("mean_snap_m", 4))
 
 
 @query()
@@ -788,3 +788,82 @@ def seed_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = spark.createDataFrame([], "from_edge bigint, via_v bigint, to_edge bigint")
     found, _ = matching.seeds(stored(bridge.points(spark, sf_dir), "points"), stored(_oneway(spark, sf_dir), "edges"), none, bridge.vertices(spark, sf_dir), SNAP_M)
     return found.select("trace_id", "start_v", "end_v", "closed_loop", F.size("edges").alias("n_edges"), r("distance_m", 3).alias("distance_m"))
+
+
+# ------------------------------------------------------------------------------- ways back
+RETURN_M, RETURN_AVERSION = 5000.0, 2.0
+#: The bridge's edges with lengths of their own, so that no two ways are equally long.
+_OWN = "o AS (SELECT edge_id, a AS f, b AS t, m + (edge_id * edge_id % 9973) * 0.001e0 AS m FROM b_edge UNION ALL SELECT edge_id, b, a, m + (edge_id * edge_id % 9973) * 0.001e0 FROM b_edge), ow AS (SELECT o.*, o.m * (1e0 + 2e0 * road) AS c FROM o JOIN b_edge USING (edge_id))"
+_JOINED = "array_to_string(edges, '-')"
+
+
+def _paths_sql(asked: str, most: float, hops: int = 5) -> str:
+    """all_paths (q, cost, m, edges): every edge-simple path of asked (q, start_v, was, target)."""
+    out = [f"g0 AS (SELECT q, target, start_v AS v, was, 0e0 AS cost, 0e0 AS m, []::BIGINT[] AS edges FROM ({asked}))"]
+    for i in range(hops):
+        go = "" if i == 0 else "WHERE v <> target"
+        out.append(f"g{i + 1} AS (SELECT q, target, t AS v, was, cost + c AS cost, g.m + ow.m AS m, list_append(edges, edge_id) AS edges FROM (SELECT * FROM g{i} {go}) g JOIN ow ON f = v WHERE g.m + ow.m <= {num(most)} AND NOT list_contains(edges, edge_id) AND edge_id IS DISTINCT FROM was)")
+    union = " UNION ALL ".join(f"SELECT q, cost, m, edges FROM g{i + 1} WHERE v = target" for i in range(hops))
+    return ", ".join([*out, f"all_paths AS ({union})"])
+
+
+def _own_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = bridge.edges(spark, sf_dir).withColumn("m", F.col("m") + (F.col("edge_id") * F.col("edge_id") % 9973) * 0.001)
+    return graph.steps(graph.directed(own, RETURN_AVERSION))
+
+
+def _asked(rows: DataFrame, most: float) -> DataFrame:
+    empty = F.array().cast("array<bigint>")
+    return rows.select("q", "start_v", "was", "target", F.lit(most).alias("most_m"), empty.alias("barred"), empty.alias("banned"))
+
+
+@query(view(f"SELECT q // 100 AS source, q % 100 AS target, round(cost, 3) AS cost, round(m, 3) AS m, {_JOINED} AS edges FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cost, m) AS r FROM all_paths) WHERE r = 1", f"{_OWN}, {_paths_sql('SELECT x.v * 100 + z.v AS q, x.v AS start_v, NULL::BIGINT AS was, z.v AS target FROM b_vertex x, b_vertex z WHERE x.v <> z.v', RETURN_M)}"))
+def constrained_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between all pairs of vertices the way of least cost, averse to roads, of at most 5 km."""
+    v = bridge.vertices(spark, sf_dir).select("v")
+    pairs = v.select(F.col("v").alias("start_v")).join(v.select(F.col("v").alias("target")), F.col("start_v") != F.col("target"))  # 25 vertices at any scale
+    asked = _asked(pairs.select((F.col("start_v") * 100 + F.col("target")).alias("q"), "start_v", F.lit(None).cast("bigint").alias("was"), "target"), RETURN_M)
+    found = returns.return_paths(_own_steps(spark, sf_dir), None, asked)
+    return found.select(F.floor(F.col("q") / 100).cast("bigint").alias("source"), (F.col("q") % 100).alias("target"), r("cost", 3).alias("cost"), r("m", 3).alias("m"), F.array_join(F.col("edges").cast("array<string>"), "-").alias("edges"))
+
+
+@query(view(f"SELECT q // 100 AS edge_id, q % 100 AS arrived_v, r::INT AS rank, round(cost, 3) AS cost, round(m, 3) AS m, {_JOINED} AS edges FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cost, m) AS r FROM all_paths) WHERE r <= 3", f"{_OWN}, {_paths_sql('SELECT edge_id * 100 + t AS q, t AS start_v, edge_id AS was, f AS target FROM ow', RETURN_M)}"))
+def return_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best ways back from the end of each edge to where it was entered, without it."""
+    step = _own_steps(spark, sf_dir)
+    rows = step.select((F.col("edge_id") * 100 + F.col("to_v")).alias("q"), F.col("to_v").alias("start_v"), F.col("edge_id").alias("was"), F.col("from_v").alias("target"))
+    found = returns.return_paths(step, None, _asked(rows, RETURN_M), 3)
+    return found.select(F.floor(F.col("q") / 100).cast("bigint").alias("edge_id"), (F.col("q") % 100).alias("arrived_v"), "rank", r("cost", 3).alias("cost"), r("m", 3).alias("m"), F.array_join(F.col("edges").cast("array<string>"), "-").alias("edges"))
+
+
+@query(view("SELECT v AS target, source AS v, round(d, 3) AS cost FROM dist", _known_sql("m * (1e0 + 2e0 * road)")))
+def reverse_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least cost from every vertex to every vertex, searched from the ends."""
+    step = graph.steps(graph.directed(bridge.edges(spark, sf_dir), RETURN_AVERSION))
+    return returns.costs_to(step, bridge.vertices(spark, sf_dir).select(F.col("v").alias("target"))).select("target", "v", r("left", 3).alias("cost"))
+
+
+def _loops_sql(most: float, hops: int) -> str:
+    asked = "SELECT v AS q, v AS start_v, NULL::BIGINT AS was, v AS target FROM b_vertex WHERE v % 6 = 0"
+    return f"{_OWN}, {_paths_sql(asked, most, hops)}"
+
+
+@query(view(f"SELECT start, {_JOINED} AS edges, round(m, 3) AS m FROM (SELECT q AS start, CASE WHEN edges[1] < edges[-1] THEN edges ELSE list_reverse(edges) END AS edges, min(m) AS m FROM all_paths WHERE m >= 4000e0 GROUP BY ALL)", _loops_sql(5500.0, 5)))
+def hunted_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loops of 4 to 5.5 km from the vertices on the diagonal: ways out of up to four edges, each
+    closed by its best ways back."""
+    starts = bridge.vertices(spark, sf_dir).select("v").where("v % 6 = 0")
+    found = returns.closed_loops(_own_steps(spark, sf_dir), None, starts, 4, 1, 4000.0, 5500.0)
+    return found.select("start", F.array_join(F.col("edges").cast("array<string>"), "-").alias("edges"), r("m", 3).alias("m"))
+
+
+@query()
+def support_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loops of 4 to 9 km through ordered landmarks around the vertices on the diagonal."""
+    v = bridge.vertices(spark, sf_dir)
+    home = v.where("v % 6 = 0")
+    known = graph.distances(graph.directed(bridge.edges(spark, sf_dir)), home.select(F.col("v").alias("source"), "v"), 9000.0 * 0.55)
+    known = stored(known, "known")
+    designs = returns.support_designs(graph.landmarks(known, v, 9000.0), known, v, 4000.0, 2)
+    found = returns.portfolio_routes(returns.loop_portfolio(_own_steps(spark, sf_dir), None, stored(designs, "designs"), 4000.0, 9000.0))
+    return found.select("start", "pos", F.array_join(F.col("supports").cast("array<string>"), "-").alias("supports"), F.array_join(F.col("edges").cast("array<string>"), "-").alias("edges"), r("m", 3).alias("m"))
