@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from math import pi, sqrt
 
 from pyspark.sql import Column
@@ -85,3 +86,40 @@ def tile(lon: Column, lat: Column, zoom: Column) -> tuple[Column, Column]:
     y = (1 - F.log(F.tan(phi) + 1 / F.cos(phi)) / pi) / 2 * side
     inside = lambda v: F.least(F.greatest(F.floor(v), F.lit(0)), (side - 1).cast("long")).cast("int")
     return inside(x), inside(y)
+
+
+def crs_of_text(text: str | None) -> tuple[str, str, int | None, bool | None]:
+    """(kind, datum, zone, north) of a declared system: an EPSG code or the WKT of a .prj.  None
+    counts as geographic; what is not supported is an error."""
+    if text is None:
+        return "geographic", "wgs84", None, None
+    key = re.sub("[^0-9A-Z]", "", text.upper())
+    if code := re.search(r"^(?:EPSG)?([0-9]{4,6})$", key) or (None if "PROJCS" in key or "GEOGC" in key else re.search(r"EPSG[0-9]*?([0-9]{4,6})$", key)):
+        n = int(code[1])
+        for low, high, datum, north in ((32601, 32660, "wgs84", True), (32701, 32760, "wgs84", False), (26901, 26923, "nad83", True)):
+            if low <= n <= high:
+                return "utm", datum, n - low + 1, north
+        if n in (3857, 900913):
+            return "mercator", "wgs84", None, None
+        if n in (4326, 4269, 4979):
+            return "geographic", "wgs84", None, None
+    elif "WEBMERCATOR" in key or "PSEUDOMERCATOR" in key or "MERCATORAUXILIARYSPHERE" in key:
+        return "mercator", "wgs84", None, None
+    elif zone := re.search(r"UTMZONE([0-9]{1,2})([NS])", key):
+        if 1 <= int(zone[1]) <= 60 and re.search("WGS(?:19)?84|NAD(?:19)?83|NORTHAMERICAN(?:19)?83", key):
+            return "utm", "wgs84" if re.search("WGS(?:19)?84", key) else "nad83", int(zone[1]), zone[2] == "N"
+    elif "PROJC" not in key and re.search("CRS84|WGS(?:19)?84|NAD(?:19)?83|NORTHAMERICAN(?:DATUM)?(?:19)?83", key):
+        return "geographic", "wgs84", None, None
+    raise ValueError(f"this coordinate system is not supported: {text[:120]}")
+
+
+def to_lonlat(x: Column, y: Column, crs: tuple[str, str, int | None, bool | None]) -> tuple[Column, Column]:
+    """(lon, lat) of coordinates in a system of crs_of_text()."""
+    kind, datum, zone, north = crs
+    return from_mercator(x, y) if kind == "mercator" else from_utm(x, y, zone, north, datum) if kind == "utm" else (x, y)
+
+
+def from_lonlat(lon: Column, lat: Column, crs: tuple[str, str, int | None, bool | None]) -> tuple[Column, Column]:
+    """(x, y) of longitudes and latitudes in a system of crs_of_text()."""
+    kind, datum, zone, north = crs
+    return to_mercator(lon, lat) if kind == "mercator" else to_utm(lon, lat, zone, north, datum) if kind == "utm" else (lon, lat)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.crs import from_lonlat
 from cairn.functions.vocab import pathless
 
 
@@ -27,6 +28,19 @@ def sampled(points: DataFrame, key: list[str], cells: DataFrame, west: float, so
     return points.join(got, key, "left").select(*[k for k in points.columns if k != "ele"], c("ele_").alias("ele"))
 
 
+def sampled_raster(points: DataFrame, key: list[str], cells: DataFrame, width: int, height: int, crs: tuple, transform: tuple[float, ...]) -> DataFrame:
+    """sampled() on a grid in any supported system, turned or not: transform is
+    (x0, dx_col, dx_row, y0, dy_col, dy_row), crs what crs_of_text() gives."""
+    x0, dx_col, dx_row, y0, dy_col, dy_row = transform
+    det = dx_col * dy_row - dx_row * dy_col
+    x, y = from_lonlat(F.col("lon"), F.col("lat"), crs)
+    x, y = x - x0, y - y0
+    # Grid coordinates: columns to the east and rows to the north of the lower left corner.
+    flat = points.select(*key, ((x * dy_row - y * dx_row) / det).alias("lon"), (F.lit(float(height)) - (y * dx_col - x * dy_col) / det).alias("lat"))
+    got = sampled(flat, key, cells, 0.0, 0.0, 1.0, width, height).select(*key, F.col("ele").alias("ele_"))
+    return points.join(got, key, "left").select(*[k for k in points.columns if k != "ele"], F.col("ele_").alias("ele"))
+
+
 def mosaic(*samples: Column) -> Column:
     """The first source that has a value."""
     return F.coalesce(*samples)

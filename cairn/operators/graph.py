@@ -30,6 +30,27 @@ def turns(ways: DataFrame) -> DataFrame:
     return a.join(b, "via_v").where("from_edge != to_edge").select("from_edge", "via_v", "to_edge")
 
 
+def resolved_bans(restrictions: DataFrame, edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(from_edge, via_v, to_edge): the turns that restrictions (rule, from_way, via_node, to_way)
+    ban.  edges: (edge_id, way, a, b, travel), a way may have several; vertices: (v, node).
+
+    Edges of the first way that arrive at the node may not go on: under `no` over the edges of
+    the second way that depart from it, under `only` over all edges there but these."""
+    c = F.col
+    travel = F.coalesce("travel", F.lit("both"))
+    ends = edges.select("edge_id", "way", F.explode(F.array(F.struct(c("a").alias("v"), (travel != "forward").alias("into"), (travel != "backward").alias("out")), F.struct(c("b").alias("v"), (travel != "backward").alias("into"), (travel != "forward").alias("out")))).alias("e")).select("edge_id", "way", "e.*")
+    at = restrictions.join(vertices.select(c("node").alias("via_node"), c("v").alias("via_v")), "via_node").select("rule", "from_way", "via_v", "to_way").distinct()
+    into = ends.where("into").select(c("edge_id").alias("from_edge"), c("way").alias("from_way"), c("v").alias("via_v"))
+    out = ends.where("out").select(c("edge_id").alias("to_edge"), c("way").alias("to_way"), c("v").alias("via_v")).distinct()
+    arrived = at.join(into, ["from_way", "via_v"])
+    # a restriction counts only where both of its ways are in the graph
+    arrived = arrived.join(edges.select(c("way").alias("to_way")).distinct(), "to_way", "left_semi")
+    no = arrived.where("rule = 'no'").join(out, ["to_way", "via_v"]).select("from_edge", "via_v", "to_edge")
+    every = ends.select(c("edge_id").alias("to_edge"), c("v").alias("via_v")).distinct()
+    only = arrived.where("rule = 'only'").select("from_edge", "via_v", "to_way").join(every, "via_v").join(out, ["to_edge", "to_way", "via_v"], "left_anti").select("from_edge", "via_v", "to_edge")
+    return no.union(only).distinct()
+
+
 def legal_legs(legs: DataFrame, bans: DataFrame) -> DataFrame:
     """Legs (route_id, seq, edge_id, from_v) whose turn onto their edge is not banned."""
     w = Window.partitionBy("route_id").orderBy("seq")

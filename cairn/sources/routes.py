@@ -5,11 +5,16 @@ parallel, and a malformed one fails the job with its path."""
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Names of columns and keys as files spell them.
 LON, LAT, ELE = ["lon", "lng", "long", "longitude"], ["lat", "latitude"], ["ele", "elevation", "elevation_m", "alt"]
+#: Bytes of the KML in an archive at most.
+KML_BYTES = 32 << 20
 CONTAINERS = ["points", "coordinates", "track", "route", "segments", "trackpoints", "waypoints", "geometry", "path", "data"]
 
 
@@ -60,8 +65,31 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return _points(x.select("path", F.transform(rows, parse).alias("points")))
 
 
+def read_kmz(spark: SparkSession, path: str) -> DataFrame:
+    """The same of the first .kml member of each archive, of 32 MB at most."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    @F.udf("string")  # one call a file
+    def text(content: bytes, name: str) -> str:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            member = next((m for m in z.infolist() if m.filename.lower().endswith(".kml")), None)
+            if member is None:
+                raise ValueError(f"no KML in {name}")
+            with z.open(member) as f:
+                raw = f.read(KML_BYTES + 1)
+        if len(raw) > KML_BYTES:
+            raise ValueError(f"more than {KML_BYTES} bytes of KML in {name}")
+        return raw.decode()
+
+    return _kml(files.select("path", text("content", "path").alias("value")))
+
+
 def read_kml(spark: SparkSession, path: str) -> DataFrame:
     """The first <coordinates> of each file."""
+    return _kml(_files(spark, path))
+
+
+def _kml(files: DataFrame) -> DataFrame:
     found = F.regexp_extract("value", r"(?s)<coordinates[^>]*>(.*?)</coordinates>", 1)
     tuples = F.filter(F.split(F.trim(F.regexp_replace(found, r"\s+", " ")), " "), lambda t: t != "")
     title = F.nullif(F.trim(F.regexp_extract("value", r"(?s)<name>(.*?)</name>", 1)), F.lit(""))
@@ -70,7 +98,7 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
         f = F.split(t, ",")
         return _point(F.get(f, F.lit(0)), F.get(f, F.lit(1)), F.get(f, F.lit(2)))
 
-    return _points(_files(spark, path).select("path", title.alias("title"), F.transform(tuples, parse).alias("points")), "title")
+    return _points(files.select("path", title.alias("title"), F.transform(tuples, parse).alias("points")), "title")
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
