@@ -62,14 +62,15 @@ def costs_to(step: DataFrame, targets: DataFrame, value: str = "cost") -> DataFr
     return out
 
 
-def return_paths(step: DataFrame, bans: DataFrame | None, asked: DataFrame, k: int = 1) -> DataFrame:
+def return_paths(step: DataFrame, bans: DataFrame | None, asked: DataFrame, k: int = 1, retrace: bool = False) -> DataFrame:
     """(q, rank, cost, m, edges): for each search the k paths of least cost, ties by metres and
     edges, that use no edge twice and have at most most_m metres; k is the feature.
 
     asked: (q, start_v, was, target, most_m, barred array, banned array): a walk that arrived at
     start_v over the edge `was` (null: none) goes to the target, which it reaches once, at its
-    end, without the barred edges and through none of the banned vertices.  step:
-    graph.steps(), with the same bans (from_edge, via_v, to_edge).
+    end, without the barred edges and through none of the banned vertices.  With retrace (k = 1)
+    it may use edges again, as a walk that turns round to get past a banned turn.  step: graph.steps(), with the same bans (from_edge,
+    via_v, to_edge).
 
     With k = 1 the labels of a state that another is as good as in cost and metres end.  With
     more every label goes on that can still become one of the k best: the k-th best path found
@@ -85,13 +86,14 @@ def return_paths(step: DataFrame, bans: DataFrame | None, asked: DataFrame, k: i
     to_go = stored(metres.join(costs, (metres["target"] == costs["target"]) & (metres["v"] == costs["v"]) & metres["last"].eqNullSafe(costs["last"])).select(metres["target"], metres["v"], metres["last"], "left_m", "left_cost"), "to_go")
     dropped(metres, costs)
     shape = ["q", "target", "most_m", "barred", "banned", "v", "last", "cost", "m", "edges"]
-    front = stored(begin.select(*shape[:5], "v", "last", F.lit(0.0).alias("cost"), F.lit(0.0).alias("m"), F.when(c("was").isNotNull(), F.array("was")).otherwise(_empty()).alias("edges")), "labels")
+    front = stored(begin.select(*shape[:5], "v", "last", F.lit(0.0).alias("cost"), F.lit(0.0).alias("m"), (_empty() if retrace else F.when(c("was").isNotNull(), F.array("was")).otherwise(_empty())).alias("edges")), "labels")
     known, goals, written = [front.select("q", "v", "last", "cost", "m")], [], [front]
     while True:
         w = step.select("last_in", "from_v", "to_v", "edge_id", c("m").alias("way_m"), c("cost").alias("way_cost"), c("last").alias("next"))
         go = front.join(w, (c("v") == c("from_v")) & c("last").eqNullSafe(c("last_in")))
         # the edge of arrival stands first in edges, so that it is not walked back either
-        go = go.where(~F.array_contains("edges", c("edge_id")) & ~F.array_contains("barred", c("edge_id")) & ((c("to_v") == c("target")) | ~F.array_contains("banned", c("to_v"))))
+        go = go if retrace else go.where(~F.array_contains("edges", c("edge_id")))
+        go = go.where(~F.array_contains("barred", c("edge_id")) & ((c("to_v") == c("target")) | ~F.array_contains("banned", c("to_v"))))
         go = go.select("q", "target", "most_m", "barred", "banned", c("to_v").alias("v"), c("next").alias("last"), (c("cost") + c("way_cost")).alias("cost"), (c("m") + c("way_m")).alias("m"), F.concat("edges", F.array("edge_id")).alias("edges"))
         left = to_go.select(c("target").alias("t_"), c("v").alias("v_"), c("last").alias("l_"), "left_m", "left_cost")
         go = go.join(left, (c("target") == c("t_")) & (c("v") == c("v_")) & c("last").eqNullSafe(c("l_"))).where(c("m") + c("left_m") <= c("most_m") + SLACK)
@@ -116,7 +118,9 @@ def return_paths(step: DataFrame, bans: DataFrame | None, asked: DataFrame, k: i
         if front.isEmpty():
             break
     came = asked.select("q", c("was").alias("was_"))
-    rows = reduce(DataFrame.union, goals).join(came, "q").withColumn("edges", F.when(c("was_").isNotNull(), F.slice("edges", 2, F.size("edges"))).otherwise(c("edges")))
+    rows = reduce(DataFrame.union, goals).join(came, "q")
+    if not retrace:
+        rows = rows.withColumn("edges", F.when(c("was_").isNotNull(), F.slice("edges", 2, F.size("edges"))).otherwise(c("edges")))
     rank = F.row_number().over(Window.partitionBy("q").orderBy("cost", "m", "edges"))
     out = stored(rows.withColumn("rank", rank).where(c("rank") <= k).select("q", "rank", "cost", "m", "edges"), "paths")
     dropped(*written, *goals, to_go, ends)
