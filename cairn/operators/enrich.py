@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.crs import from_lonlat
 from cairn.functions.vocab import pathless
+from cairn.state import dropped, stored
 
 
 def sampled(points: DataFrame, key: list[str], cells: DataFrame, west: float, south: float, size: float, ncols: int, nrows: int) -> DataFrame:
@@ -97,3 +98,75 @@ def contours(cells: DataFrame, interval: float) -> DataFrame:
     some = F.filter(F.array(*sides), lambda s: s.isNotNull())
     lines = F.when(all_cut, apart).otherwise(F.array(pair(F.get(some, F.lit(0)), F.get(some, F.lit(1)))))
     return sq.withColumn("l", F.explode(lines)).select("row", "col", "level", c("l.p.x").alias("x1"), c("l.p.y").alias("y1"), c("l.q.x").alias("x2"), c("l.q.y").alias("y2"))
+
+
+#: Places of a contour that are as near as this share of a cell are one.
+KNOTS_PER_CELL = 1_000_000
+#: What smoothing takes of a point and of each neighbour.
+OWN, NEIGHBOUR = 0.64, 0.18
+
+
+def _ranked(links: DataFrame) -> DataFrame:
+    """(d, tail, dist, least): of directed parts (d, next) the last one of their list, the steps to
+    it and the smallest d from each on; parts of a ring have no tail and their ring's smallest.
+
+    Pointer jumping: a round doubles how far each part looks, so rounds grow with the logarithm
+    of the longest list."""
+    c = F.col
+    at = stored(links.select("d", "next", c("d").alias("tail"), F.lit(0).cast("bigint").alias("dist"), c("d").alias("least")), "links")
+    while True:
+        far = at.select(c("d").alias("f"), c("next").alias("f_next"), c("tail").alias("f_tail"), c("dist").alias("f_dist"), c("least").alias("f_least"))
+        rows = at.join(far, c("next") == c("f"), "left")
+        go = c("f").isNotNull()
+        after = stored(rows.select("d", F.when(go, c("f_next")).alias("next"), F.when(go, c("f_tail")).otherwise(c("tail")).alias("tail"), F.when(go, c("dist") + c("f_dist") + 1).otherwise(c("dist")).alias("dist"), F.least("least", F.coalesce("f_least", "least")).alias("least"), (go & (c("f_next").isNull() | (c("f_least") < c("least")))).alias("moved")), "links")
+        dropped(at)
+        at = after.drop("moved")
+        if after.where("moved").isEmpty():
+            return at.select("d", F.when(c("next").isNull(), c("tail")).alias("tail"), "dist", "least")
+
+
+def contour_lines(segments: DataFrame) -> DataFrame:
+    """(level, line, pos, x, y, closed): contours() chained to lines, in cells of the whole grid; a
+    ring's first point is also its last.  A place where more than two parts meet ends lines.
+
+    Every part is there in both directions; of a line's two orders the one whose first part is
+    the smaller is kept."""
+    c = F.col
+    knot = lambda v: F.round(v * KNOTS_PER_CELL).cast("bigint")
+    key = F.struct("level", "row", "col", "x1", "y1", "x2", "y2")
+    rows = segments.withColumns({"ax": c("col") + c("x1"), "ay": c("row") + c("y1"), "bx": c("col") + c("x2"), "by": c("row") + c("y2")})
+    rows = rows.withColumn("id", F.shiftright(F.xxhash64(key), 2)).where((knot(c("ax")) != knot(c("bx"))) | (knot(c("ay")) != knot(c("by"))))
+    ways = F.array(F.struct((c("id") * 2).alias("d"), c("ax").alias("x"), c("ay").alias("y"), c("bx").alias("tx"), c("by").alias("ty")), F.struct((c("id") * 2 + 1).alias("d"), c("bx").alias("x"), c("by").alias("y"), c("ax").alias("tx"), c("ay").alias("ty")))
+    parts = stored(rows.select("level", F.explode(ways).alias("w")).select("level", "w.*").withColumns({"u": F.struct("level", knot(c("x")).alias("x"), knot(c("y")).alias("y")), "v": F.struct("level", knot(c("tx")).alias("x"), knot(c("ty")).alias("y"))}), "parts")
+    two = parts.groupBy("u").agg(F.count("*").alias("n"), F.min("d").alias("p"), F.max("d").alias("q")).where("n = 2")
+    other = F.when(F.shiftright("p", 1) == F.shiftright("d", 1), c("q")).otherwise(c("p"))
+    links = stored(parts.select("d", "v").join(two.withColumnRenamed("u", "v"), "v", "left").select("d", F.when(c("n") == 2, other).alias("next")), "links")
+    first = stored(_ranked(links), "ranks")
+    # rings are cut before their smallest part
+    heads = first.where("tail is null and d = least").select(c("d").alias("next"), F.lit(True).alias("cut"))
+    ranks = _ranked(links.join(heads, "next", "left").select("d", F.when(c("cut").isNull(), c("next")).alias("next")))
+    ranks = stored(ranks.join(first.select("d", c("tail").isNull().alias("closed"), c("least").alias("ring")), "d"), "ranks")
+    lists = ranks.groupBy("tail").agg(F.max_by("d", "dist").alias("head"), F.max("dist").alias("most"), F.max("closed").alias("closed"))
+    back = ranks.select((c("d").bitwiseXOR(F.lit(1))).alias("head"), c("ring").alias("turned"))
+    # an open line's other order starts with its tail turned round; a ring's with that ring's smallest
+    kept = lists.join(back, "head").where(F.when(c("closed"), c("head") < c("turned")).otherwise(c("head") <= c("tail").bitwiseXOR(F.lit(1))))
+    rows = ranks.select("d", "tail", "dist").join(kept.select("tail", "head", "most", "closed"), "tail").join(parts, "d")
+    pos = (c("most") - c("dist")).cast("int")
+    start = rows.select("level", c("head").alias("line"), pos.alias("pos"), "x", "y", "closed")
+    end = rows.where("dist = 0").select("level", c("head").alias("line"), (pos + 1).alias("pos"), c("tx").alias("x"), c("ty").alias("y"), "closed")
+    return start.union(end)
+
+
+def smoothed(lines: DataFrame) -> DataFrame:
+    """contour_lines() with each point drawn towards its neighbours; open lines keep their ends,
+    and lines of fewer than three different points stay as they are."""
+    c = F.col
+    w = Window.partitionBy("line").orderBy("pos")
+    whole = Window.partitionBy("line")
+    rows = lines.withColumns({"n": F.count("*").over(whole)})
+    for k in ("x", "y"):
+        # the ring's neighbour across its seam: the last point but one, and the second
+        rows = rows.withColumns({f"a{k}": F.coalesce(F.lag(k).over(w), F.when(c("closed"), F.max(F.when(c("pos") == c("n") - 2, c(k))).over(whole))), f"b{k}": F.coalesce(F.lead(k).over(w), F.when(c("closed"), F.max(F.when(c("pos") == 1, c(k))).over(whole)))})
+    few = F.when(c("closed"), c("n") - 1).otherwise(c("n")) < 3
+    new = lambda k: F.when(few | c(f"a{k}").isNull() | c(f"b{k}").isNull(), c(k)).otherwise((c(f"a{k}") + c(f"b{k}")) * NEIGHBOUR + c(k) * OWN).alias(k)
+    return rows.select("level", "line", "pos", new("x"), new("y"), "closed")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn import sinks
 from cairn.functions import calendar, crs, geo, identity, physics, vocab
-from cairn.operators import build, enrich, graph, library, matching, network, overlays, returns, routes, spatial, traces, walks
+from cairn.operators import build, designs, enrich, graph, library, matching, network, overlays, returns, routes, spatial, traces, walks
 from cairn.plans import bridge
 from cairn.plans.bridge import table
 from cairn.plans.registry import query
@@ -867,3 +867,43 @@ def support_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     designs = returns.support_designs(graph.landmarks(known, v, 9000.0), known, v, 4000.0, 2)
     found = returns.portfolio_routes(returns.loop_portfolio(_own_steps(spark, sf_dir), None, stored(designs, "designs"), 4000.0, 9000.0))
     return found.select("start", "pos", F.array_join(F.col("supports").cast("array<string>"), "-").alias("supports"), F.array_join(F.col("edges").cast("array<string>"), "-").alias("edges"), r("m", 3).alias("m"))
+
+
+# ------------------------------------------------------------------------------- contours
+_D = lambda i, j: f"sqrt(power(x{i} - x{j}, 2e0) + power(y{i} - y{j}, 2e0))"
+_PAIRS = " + ".join(f"coalesce({_D(i, j)}, 0e0)" for i in range(4) for j in range(i + 1, 4))
+_CONTOURS = f"""ce AS (SELECT (4 - v // 5) AS r, v % 5 AS c, ele AS z FROM b_vertex),
+ sq AS (SELECT a.z AS z0, b.z AS z1, c.z AS z2, d.z AS z3 FROM ce a JOIN ce b ON b.r = a.r AND b.c = a.c + 1 JOIN ce c ON c.r = a.r + 1 AND c.c = a.c + 1 JOIN ce d ON d.r = a.r + 1 AND d.c = a.c),
+ lv AS (SELECT *, unnest(range(CAST(floor(least(z0, z1, z2, z3) / 25e0) AS BIGINT) + 1, CAST(floor(greatest(z0, z1, z2, z3) / 25e0) AS BIGINT) + 1)) * 25e0 AS v FROM sq),
+ pt AS (SELECT *, CASE WHEN (z0 >= v) <> (z1 >= v) THEN (v - z0) / (z1 - z0) END AS x0, 0e0 AS y0, CASE WHEN (z1 >= v) <> (z2 >= v) THEN 1e0 END AS x1, (v - z1) / nullif(z2 - z1, 0e0) AS y1,
+  CASE WHEN (z2 >= v) <> (z3 >= v) THEN 1e0 - (v - z2) / (z3 - z2) END AS x2, 1e0 AS y2, CASE WHEN (z3 >= v) <> (z0 >= v) THEN 0e0 END AS x3, 1e0 - (v - z3) / nullif(z0 - z3, 0e0) AS y3 FROM lv)"""
+_LENGTH = f"CASE WHEN x0 IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL THEN CASE WHEN ((z0 + z1 + z2 + z3) / 4e0 >= v) = (z0 >= v) THEN {_D(0, 1)} + {_D(2, 3)} ELSE {_D(3, 0)} + {_D(1, 2)} END ELSE {_PAIRS} END"
+
+
+@query(view(f"SELECT v AS level, round(sum({_LENGTH}), 5) AS length FROM pt GROUP BY v HAVING sum({_LENGTH}) > 1e-6", _CONTOURS))
+def contour_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length, in cells, of the chained contours of each level."""
+    lines = enrich.contour_lines(enrich.contours(_cells(spark, sf_dir), 25.0))
+    w = Window.partitionBy("line").orderBy("pos")
+    part = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
+    return lines.withColumn("part", part).groupBy("level").agg(r(F.sum("part"), 5).alias("length"))
+
+
+@query()
+def contour_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = enrich.smoothed(enrich.contour_lines(enrich.contours(_cells(spark, sf_dir), 25.0)))
+    return lines.select("level", "line", "pos", r("x", 6).alias("x"), r("y", 6).alias("y"), "closed")
+
+
+@query()
+def inferred_designs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supports that make the walkable routes of the bridge again, averse to roads."""
+    edges = stored(_oneway(spark, sf_dir).withColumns({"travel": F.lit("both"), "road": F.lit(0.0), "access": F.lit("open")}), "edges")
+    legs = bridge.legs(spark, sf_dir).select("route_id", "seq", "edge_id", "from_v", "to_v")
+    # routes whose legs are all edges of the network
+    gone = legs.join(edges.select("edge_id"), "edge_id", "left_anti").select("route_id").distinct()
+    legs = stored(legs.join(gone, "route_id", "left_anti"), "legs")
+    shapes = stored(routes.shapes(bridge.legs(spark, sf_dir)).join(legs.select("route_id").distinct(), "route_id", "left_semi"), "shapes")
+    none = spark.createDataFrame([], "from_edge bigint, via_v bigint, to_edge bigint")
+    found = designs.inferred(legs, shapes, edges, none, bridge.vertices(spark, sf_dir))
+    return found.select("route_id", "shape", "slot", r("lon", 6).alias("lon"), r("lat", 6).alias("lat"))
