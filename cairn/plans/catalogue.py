@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn import sinks
 from cairn.functions import calendar, crs, geo, identity, physics, vocab
-from cairn.operators import build, designs, enrich, graph, library, matching, network, overlays, returns, routes, spatial, traces, walks
+from cairn.operators import build, designs, enrich, gazetteer, graph, library, matching, network, overlays, returns, routes, spatial, traces, walks
 from cairn.plans import bridge
 from cairn.plans.bridge import table
 from cairn.plans.registry import query
@@ -907,3 +907,25 @@ def inferred_designs(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = spark.createDataFrame([], "from_edge bigint, via_v bigint, to_edge bigint")
     found = designs.inferred(legs, shapes, edges, none, bridge.vertices(spark, sf_dir))
     return found.select("route_id", "shape", "slot", r("lon", 6).alias("lon"), r("lat", 6).alias("lat"))
+
+
+# ------------------------------------------------------------------------------- places
+_PLAIN = lambda t: f"trim(regexp_replace(lower({t}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_PLACES = f"""pl AS (SELECT s_suppkey AS entry_id, s_name AS name, n_name AS jurisdiction, r_name AS kind, v.lon, v.lat, {_PLAIN("s_name")} AS plain, {_PLAIN("s_name || ' ' || n_name || ' ' || r_name")} AS hay FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN b_vertex v ON v.v = n_nationkey),
+ qs AS (SELECT n_nationkey AS query_id, CASE n_nationkey % 4 WHEN 0 THEN n_name WHEN 1 THEN substr(n_name, 2, 4) WHEN 2 THEN 'supp ' || substr(n_name, 1, 3) ELSE 'Supplier#0000000' || CAST(n_nationkey AS VARCHAR) END AS text, v.lon, v.lat FROM nation JOIN b_vertex v ON v.v = n_nationkey),
+ qp AS (SELECT query_id, lon, lat, {_PLAIN("text")} AS asked FROM qs),
+ hit AS (SELECT query_id, entry_id, name, jurisdiction, kind, CASE WHEN plain = asked THEN 0 WHEN starts_with(plain, asked) THEN 1 WHEN len(list_filter(string_split(asked, ' '), lambda w: len(list_filter(string_split(hay, ' '), lambda t: starts_with(t, w))) = 0)) = 0 THEN 2 WHEN contains(hay, asked) THEN 3 END AS rank,
+  round(2e0 * 6371008.8e0 * asin(sqrt(power(sin(radians(qp.lat - pl.lat) / 2e0), 2e0) + cos(radians(pl.lat)) * cos(radians(qp.lat)) * power(sin(radians(qp.lon - pl.lon) / 2e0), 2e0))), 3) AS d FROM qp, pl)"""
+
+
+@query(view("SELECT query_id::BIGINT AS query_id, position::INT AS position, entry_id::BIGINT AS entry_id, rank::INT AS rank, d AS distance_m FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, d, name, jurisdiction, kind, entry_id) AS position FROM hit WHERE rank IS NOT NULL) WHERE position <= 8", _PLACES))
+def gazetteer_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight best of all suppliers, as places, for names and parts of names of nations."""
+    c, v = F.col, bridge.vertices(spark, sf_dir).select(F.col("v").alias("n"), "lon", "lat")
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    places = table(spark, sf_dir, "supplier").join(nation, c("s_nationkey") == c("n_nationkey")).join(region, c("n_regionkey") == c("r_regionkey")).join(v, c("n") == c("n_nationkey"))
+    places = places.select(c("s_suppkey").cast("bigint").alias("entry_id"), c("s_name").alias("name"), c("n_name").alias("jurisdiction"), c("r_name").alias("kind"), "lon", "lat")
+    k = c("n_nationkey")
+    text = F.when(k % 4 == 0, c("n_name")).when(k % 4 == 1, F.substring("n_name", 2, 4)).when(k % 4 == 2, F.concat(F.lit("supp "), F.substring("n_name", 1, 3))).otherwise(F.concat(F.lit("Supplier#0000000"), k.cast("string")))
+    asked = nation.join(v, c("n") == k).select(k.cast("bigint").alias("query_id"), text.alias("text"), "lon", "lat")
+    return gazetteer.search(asked, places, 8).withColumn("distance_m", r("distance_m", 3))
