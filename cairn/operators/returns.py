@@ -45,7 +45,9 @@ def costs_to(step: DataFrame, targets: DataFrame, value: str = "cost") -> DataFr
 
     The search runs on the reversed ways from all states at the target."""
     ends = step.select(c("to_v").alias("v"), "last").union(step.select(c("from_v").alias("v"), c("last_in").alias("last"))).distinct()
-    front = stored(targets.select("target").distinct().join(ends, c("target") == c("v")).select("target", "v", "last", F.lit(0.0).alias("left")), "reverse")
+    goals = targets.select("target").distinct()
+    own = goals.select("target", c("target").alias("v"), _none().alias("last"))
+    front = stored(goals.join(ends, c("target") == c("v")).select("target", "v", "last").union(own).distinct().withColumn("left", F.lit(0.0)), "reverse")
     written = [front]
     while True:
         go = front.join(step.withColumnRenamed("last", "arrived"), (c("v") == c("to_v")) & c("last").eqNullSafe(c("arrived")))
