@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import physics
 from cairn.functions.vocab import is_restricted
-from cairn.state import stored
+from cairn.state import dropped, stored
 
 #: Weights of quality, confidence that counts as low, bounds of grade bins.
 ROAD_WEIGHT, DOUBT_WEIGHT, ACCESS_WEIGHT = 0.70, 0.25, 0.50
@@ -218,23 +219,112 @@ def first_front(routes: DataFrame, bounds: Bounds, group: str, salts: int = 64)
     return part.groupBy(group).applyInArrow(front, part.schema).select(*cols)
 
 
-def pareto_ranks(routes: DataFrame, bounds: Bounds, group: str) -> DataFrame:
-    """routes with pareto_rank: fronts are peeled off the satisfied ones first, and ranks
-    go on through the others.  A group is one search's candidates, a few thousand."""
-    rows = routes.withColumn("o_", F.array(*objectives(bounds))).withColumn("pareto_rank", F.lit(0))
+def _columns(points: pa.ChunkedArray) -> np.ndarray:
+    """An Arrow column of equally long lists of doubles as rows of a matrix."""
+    flat = pa.concat_arrays([x.flatten() for x in points.chunks]) if points.num_chunks else pa.array([], pa.float64())
+    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(points), -1)
+
+
+class Fronts:
+    """Rows by rank; a new row's rank is found by bisection.
 
-    def peel(pdf: pa.Table) -> pa.Table:
-        x, good = np.array(pdf.column("o_").to_pylist(), float), pdf.column("satisfied").to_numpy().astype(bool)
-        rank, now = np.zeros(len(x), np.int32), 1
-        for tier in (True, False):
-            left = np.flatnonzero(good == tier)
-            while len(left):
-                keep = undominated(x[left])
-                rank[left[keep]] = now
-                left, now = left[~keep], now + 1
-        return pdf.set_column(pdf.column_names.index("pareto_rank"), "pareto_rank", pa.array(rank))
+    What dominates a row of front f has one of front f - 1 that dominates it, so above
+    `floor`, the largest rank known from elsewhere, the fronts that hold a dominating row
+    are the lowest ones."""
 
-    return rows.groupBy(group).applyInArrow(peel, rows.schema).drop("o_")
+    def __init__(self) -> None:
+        self.rows, self.size, self.top = {}, {}, 0
+
+    def add(self, row: np.ndarray, rank: int) -> None:
+        at, have = self.size.get(rank, 0), self.rows.get(rank)
+        if have is None or at == len(have):
+            more = np.empty((max(8, at), len(row)))
+            self.rows[rank] = have = more if have is None else np.vstack([have, more])
+        have[at] = row
+        self.size[rank], self.top = at + 1, max(self.top, rank)
+
+    def above(self, row: np.ndarray, floor: int) -> int:
+        """The largest rank of a row that dominates this one (no row equals it)."""
+        low, high = floor, max(self.top, floor)
+        while low < high:
+            mid = (low + high + 1) // 2
+            if mid in self.rows and (self.rows[mid][: self.size[mid]] <= row).all(1).any():
+                low = mid
+            else:
+                high = mid - 1
+        return low
+
+
+def _ranked_slice(pdf: pa.Table) -> pa.Table:
+    """Ranks of a slice's points; base_ is the largest rank of an earlier slice that dominates."""
+    x, base = _columns(pdf.column("o_")), pdf.column("base_").to_numpy()
+    order, fronts, rank = np.lexsort(x.T[::-1]), Fronts(), np.zeros(len(x), np.int32)
+    varied = x[:, (x != x[0]).any(0)]
+    for i in order:
+        rank[i] = fronts.above(varied[i], int(base[i])) + 1
+        fronts.add(varied[i], int(rank[i]))
+    return pdf.select(["set_", "o_"]).append_column("rank_", pa.array(rank))
+
+
+def _dominating(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """For asked points the largest rank of a known one that dominates; known holds whole fronts."""
+    fronts, ranks = Fronts(), known.column("rank_").to_numpy()
+    for row, rank in zip(_columns(known.column("known_")), ranks):
+        fronts.add(row, int(rank))
+    low = int(ranks.min()) - 1 if len(ranks) else 0
+    best = np.array([fronts.above(row, low) for row in _columns(asked.column("o_"))], np.int32)
+    return asked.select(["set_", "o_"]).append_column("base_", pa.array(np.where(best == low, 0, best).astype(np.int32)))
+
+
+def _rank_slices(points: DataFrame, slice_rows: int) -> DataFrame:
+    """(set_, o_, rank_) of distinct points (set_, o_): 1 more than the largest rank of a point
+    of the set that dominates.
+
+    Points are cut by range into slices, so that only what stands in earlier slices or in the
+    same one dominates.  A round ranks the next slice of every set: first against the earlier
+    ones, in chunks of whole fronts, then within itself.  No task holds more than a slice and
+    a chunk; a set of less than slice_rows points is one slice or two."""
+    c = F.col
+    points = stored(points, "points")
+    parts = max(1, -(-points.count() // slice_rows))
+    cut = stored(points.repartitionByRange(parts, "set_", "o_").withColumn("p_", F.spark_partition_id()), "cut")
+    dropped(points)
+    nth = cut.select("set_", "p_").distinct().withColumn("slice_", F.row_number().over(Window.partitionBy("set_").orderBy("p_")))
+    cut_rows = stored(cut.join(nth, ["set_", "p_"]).drop("p_"), "slices")
+    dropped(cut)
+    form = points.schema.simpleString()[len("struct<") : -1]
+    written: list[DataFrame] = []
+    for k in range(1, (cut_rows.agg(F.max("slice_")).first()[0] or 1) + 1):
+        now = cut_rows.where(c("slice_") == k).drop("slice_")
+        if written:
+            done = reduce(DataFrame.unionByName, written).join(now.select("set_").distinct(), "set_", "left_semi")
+            before = F.sum("count").over(Window.partitionBy("set_").orderBy("rank_").rowsBetween(Window.unboundedPreceding, -1))
+            chunks = done.groupBy("set_", "rank_").count().select("set_", "rank_", F.floor(F.coalesce(before, F.lit(0)) / slice_rows).alias("chunk_"))
+            chunks = stored(chunks, "chunks")
+            asked = now.join(chunks.select("set_", c("chunk_").alias("of_")).distinct(), "set_").groupBy("set_", "of_")
+            known = done.join(chunks, ["set_", "rank_"]).select(c("set_").alias("known_set_"), c("chunk_").alias("known_of_"), c("o_").alias("known_"), "rank_")
+            base = asked.cogroup(known.groupBy("known_set_", "known_of_")).applyInArrow(_dominating, f"{form}, base_ int")
+            now = base.groupBy("set_", "o_").agg(F.max("base_").alias("base_"))
+        else:
+            now = now.withColumn("base_", F.lit(0))
+        written.append(stored(now.groupBy("set_").applyInArrow(_ranked_slice, f"{form}, rank_ int"), "ranks"))
+        if k > 1:
+            dropped(chunks)
+    dropped(cut_rows)
+    return reduce(DataFrame.unionByName, written)
+
+
+def pareto_ranks(routes: DataFrame, bounds: Bounds, group: str, slice_rows: int = 1 << 18) -> DataFrame:
+    """routes with pareto_rank: fronts are peeled off the satisfied ones first, and ranks
+    go on through the others.  Routes of equal objectives are ranked once."""
+    c = F.col
+    cols = [x for x in routes.columns if x != "pareto_rank"]
+    good = F.coalesce("satisfied", F.lit(False))
+    rows = stored(routes.withColumn("o_", F.array(*objectives(bounds))).withColumn("set_", F.struct(F.struct(group).alias("group"), good.alias("good"))), "routes")
+    ranks = _rank_slices(rows.select("set_", "o_").distinct(), slice_rows)
+    tops = ranks.where("set_.good").groupBy(c("set_.group").alias("group_")).agg(F.max("rank_").alias("top_"))
+    both = rows.join(ranks, ["set_", "o_"]).withColumn("group_", c("set_.group")).join(tops, "group_", "left")
+    return both.select(*cols, (c("rank_") + F.when(c("set_.good"), 0).otherwise(F.coalesce("top_", F.lit(0)))).alias("pareto_rank"))
 
 
 def final_order(ranked: DataFrame) -> DataFrame:
@@ -265,35 +355,67 @@ def overlaps(legs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("left_id", "right_id", (1 - F.coalesce("shared", F.lit(0.0)) / F.greatest(F.least("da", "db"), F.lit(1.0))).alias("distance"))
 
 
-def portfolio(ranked: DataFrame, legs: DataFrame, group: str, limit: int = 12, radii: tuple[float, ...] = (0.35, 0.20, 0.08, 0.0)) -> DataFrame:
+def portfolio(ranked: DataFrame, legs: DataFrame, group: str, limit: int = 12, radii: tuple[float, ...] = (0.35, 0.20, 0.08, 0.0), batch: int = 256) -> DataFrame:
     """At most `limit` routes of each group, (group, route_id, pick): greedily in final
     order, tier by tier, those at least a radius away from all picked ones, for ever
-    smaller radii.  limit is the feature: a portfolio is what one search keeps."""
-    edges = legs.groupBy("route_id", "edge_id").agg(F.count("*").alias("n"), F.min("m").alias("m")).groupBy("route_id").agg(F.collect_list(F.struct("edge_id", "n", "m")).alias("edges"))
-    rows = ranked.select(group, "route_id", "satisfied", "pareto_rank", "score", "distance_m").join(edges, "route_id").select(group, "route_id", "satisfied", "pareto_rank", "score", "distance_m", "edges")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-
-    def choose(pdf: pa.Table) -> pa.Table:
-        items = sorted(pdf.to_pylist(), key=lambda r: (not r["satisfied"], r["pareto_rank"], r["score"], r["route_id"]))
-        for r in items:
-            r["counts"] = {e["edge_id"]: (e["n"], e["m"]) for e in r["edges"]}
-
+    smaller radii.  limit is the feature: a portfolio is what one search keeps.
+
+    A round takes of each group the first `batch` routes that are far enough from all picked
+    so far, and picks among these.  What it passes over is too near to a pick, so the next
+    round need not know where this one ended; rounds go on until no group has more."""
+    c = F.col
+    counts = legs.groupBy("route_id", "edge_id").agg(F.count("*").alias("n"), F.min("m").alias("m"))
+    edges = counts.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("edge_id", "n", "m"))).alias("edges"))
+    items = stored(ranked.select(group, "route_id", "satisfied", "pareto_rank", "score", "distance_m").join(edges, "route_id").withColumn("set_", F.struct(group)), "items")
+    final = [F.coalesce("satisfied", F.lit(False)).desc(), "pareto_rank", "score", "route_id"]
+    few = items.groupBy("set_").count().withColumn("few_", c("count") <= limit).drop("count")
+    few = stored(few, "groups")
+    small = items.join(few.where("few_"), "set_").select("set_", "route_id", (F.row_number().over(Window.partitionBy("set_").orderBy(*final)) - 1).alias("pick"))
+    form = items.select("set_", "route_id", "distance_m", "edges").schema.simpleString()[len("struct<") : -1]
+
+    def choose(radius: float):
         def away(a: dict, b: dict) -> float:
-            shared = sum(m * min(n, b["counts"][e][0]) for e, (n, m) in a["counts"].items() if e in b["counts"])
+            shared = 0.0  # summed as the column expression below does it
+            for e, (n, m) in a["counts"].items():
+                shared += m * min(n, b["counts"][e][0]) if e in b["counts"] else 0.0
             return 1 - shared / max(1.0, min(a["distance_m"], b["distance_m"]))
 
-        chosen: list[dict] = []
-        for tier in (True, False) if len(items) > limit else ():
-            pool = [r for r in items if r["satisfied"] == tier]
-            for radius in radii:
-                for r in [*pool]:
-                    if len(chosen) < limit and all(away(r, c) >= radius for c in chosen):
-                        chosen.append(r)
-                        pool.remove(r)
-        chosen = chosen if len(items) > limit else items
-        return pa.table({group: [r[group] for r in chosen], "route_id": [r["route_id"] for r in chosen], "pick": list(range(len(chosen)))}, schema=pa.schema([pdf.schema.field(group), pdf.schema.field("route_id"), ("pick", pa.int32())]))
-
-    return rows.groupBy(group).applyInArrow(choose, f"{group} {kinds[group]}, route_id {kinds['route_id']}, pick int")
+        def of(near: pa.Table, picked: pa.Table) -> pa.Table:
+            rows, chosen, new = near.to_pylist(), picked.to_pylist(), []
+            for r in [*rows, *chosen]:
+                r["counts"] = {e["edge_id"]: (e["n"], e["m"]) for e in r["edges"]}
+            for r in sorted(rows, key=lambda r: r["nth_"]):
+                if len(chosen) < limit and all(away(r, x) >= radius for x in chosen):
+                    new.append(r | {"pick": len(chosen)})
+                    chosen.append(r)
+            names = ["set_", "route_id", "distance_m", "edges"]
+            return pa.Table.from_pylist([{k: r[k] for k in [*names, "pick"]} for r in new], schema=pa.schema([*[near.schema.field(k) for k in names], ("pick", pa.int32())]))
+
+        return of
+
+    none = stored(items.select("set_", "route_id", "distance_m", "edges", F.lit(0).alias("pick")).where("false"), "picks")
+    picks = [none]
+    left = stored(few.where("not few_").select("set_"), "open")
+    shared = lambda e, x: e["m"] * F.least(e["n"], F.coalesce(F.try_element_at(x["counts"], e["edge_id"]), F.lit(0)))
+    for tier in (True, False):
+        for radius in radii:
+            going = left
+            while not going.isEmpty():
+                picked = reduce(DataFrame.unionByName, picks)
+                counted = F.map_from_entries(F.transform("edges", lambda e: F.struct(e["edge_id"], e["n"])))
+                by = picked.groupBy("set_").agg(F.collect_list(F.struct("route_id", "distance_m", counted.alias("counts"))).alias("picked_"))
+                pool = items.where(c("satisfied") == tier).join(going, "set_", "left_semi").join(by, "set_", "left")
+                apart = lambda x: (x["route_id"] != c("route_id")) & (1 - F.aggregate("edges", F.lit(0.0), lambda s, e: s + shared(e, x)) / F.greatest(F.lit(1.0), F.least("distance_m", x["distance_m"])) >= radius)
+                pool = pool.where(F.coalesce(F.forall("picked_", apart), F.lit(True))).drop("picked_")
+                near = stored(pool.withColumn("nth_", F.row_number().over(Window.partitionBy("set_").orderBy("pareto_rank", "score", "route_id"))).where(c("nth_") <= batch), "near")
+                got = near.groupBy("set_").cogroup(picked.groupBy("set_")).applyInArrow(choose(radius), f"{form}, pick int")
+                picks.append(stored(got, "picks"))
+                full = reduce(DataFrame.unionByName, picks).groupBy("set_").count().where(c("count") >= limit)
+                left = stored(left.join(full, "set_", "left_anti"), "open")
+                going = stored(near.groupBy("set_").count().where(c("count") == batch).select("set_").join(left, "set_", "left_semi"), "going")
+                dropped(near)
+    whole = small.unionByName(reduce(DataFrame.unionByName, picks).select("set_", "route_id", "pick"))
+    return whole.select(c("set_")[group].alias(group), "route_id", "pick")
 
 
 def carried_ids(previous: DataFrame, now: DataFrame) -> DataFrame:
