@@ -20,10 +20,22 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(n.alias("v"), (-105.0 + (n % 5) * 0.012).alias("lon"), (40.0 + F.floor(n / 5.0) * 0.012).alias("lat"), (1600 + 37 * ((n * 7) % 25)).cast("double").alias("ele"))
 
 
+#: Line items in a task at most, about: what follows sorts them by route several times.
+TASK_ROWS = 250_000
+
+
 def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line item.  Where the session's shuffle partitions would hold more than
+    TASK_ROWS each, routes are dealt over as many as hold that, in the one exchange by route
+    that the joins and windows need, so that a task's memory doesn't grow with the tables."""
     t = lambda n: table(spark, sf_dir, n)
     c = F.col
-    rows = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), c("l_orderkey") == c("o_orderkey")).join(t("customer").select("c_custkey", "c_nationkey"), c("o_custkey") == c("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), c("l_suppkey") == c("s_suppkey"))
+    starts = t("orders").select("o_orderkey", "o_custkey").join(t("customer").select("c_custkey", "c_nationkey"), c("o_custkey") == c("c_custkey"))
+    lines = t("lineitem").join(t("supplier").select("s_suppkey", "s_nationkey"), c("l_suppkey") == c("s_suppkey"))
+    tasks = -(-t("lineitem").count() // TASK_ROWS)
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        starts, lines = starts.repartition(tasks, "o_orderkey"), lines.repartition(tasks, "l_orderkey")
+    rows = lines.join(starts, c("l_orderkey") == c("o_orderkey"))
     seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")).cast("bigint")
     access = F.when(c("l_returnflag") == "A", "restricted").when(c("l_returnflag") == "N", "open").otherwise("unknown")
     terrain = F.get(F.array(*[F.lit(x) for x in ("trail", "forest", "talus", "pavement", "alpine")]), c("l_linenumber") % 5)
