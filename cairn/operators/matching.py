@@ -26,6 +26,9 @@ c = F.col
 
 #: How a connector's budget in metres follows from its segment.
 BUDGET_TIMES, SNAP_TIMES, BUDGET_OPEN_M, BUDGET_LEAST_M = 3.0, 2.0, 500.0, 50.0
+#: Fixed value: metres along an edge that are none; of a segment square to its edge only
+#: rounding would tell which end is farther along.
+LEVEL_M = 1e-6
 #: Of edges equally near, which one is taken.
 ACCESS_RANK = {"open": 0, "unknown": 1, "restricted": 1, "closed": 2, "private": 2}
 KIND_RANK = {"track": 1, "service-road": 2, "roadway": 3, "unknown": 3}
@@ -76,14 +79,15 @@ def middles(segments: DataFrame) -> DataFrame:
 def anchors(segments: DataFrame, near: DataFrame, edges: DataFrame, max_snap_m: float) -> DataFrame:
     """(trace_id, n, seg, edge_id, entry, exit, live, budget_m): a row where the edge of a
     trace's snapped segments changes, n from 1.  near: (trace_id, seg, edge_id, distance_m).
-    live: the edge's travel rule lets a walk enter there."""
+    live: the edge's travel rule lets a walk enter there.  A segment that goes neither way
+    along its edge enters it at a."""
     w = Window.partitionBy("trace_id").orderBy("seg")
     rows = segments.join(near.where(c("distance_m") <= max_snap_m), ["trace_id", "seg"]).withColumn("was", F.lag("edge_id").over(w)).where("was is null or was != edge_id")
     rows = rows.join(edges.select("edge_id", "a", "b", F.coalesce("travel", F.lit("both")).alias("travel"), "line"), "edge_id")
     progress = lambda k: geo.line_projection(F.struct(c(f"lon{k}").alias("lon"), c(f"lat{k}").alias("lat")), c("line"))["progress_m"]
     allowance = BUDGET_OPEN_M if max_snap_m == float("inf") else max_snap_m * SNAP_TIMES
     budget = F.greatest(geo.haversine(c("lon1"), c("lat1"), c("lon2"), c("lat2")) * BUDGET_TIMES + allowance, F.lit(BUDGET_LEAST_M))
-    rows = rows.select("*", (progress(2) >= progress(1)).alias("ahead"), budget.alias("budget_m"))
+    rows = rows.select("*", (progress(2) - progress(1) >= -LEVEL_M).alias("ahead"), budget.alias("budget_m"))
     entry, out = F.when(c("ahead"), c("a")).otherwise(c("b")), F.when(c("ahead"), c("b")).otherwise(c("a"))
     live = F.when(c("ahead"), c("travel") != "backward").otherwise(c("travel") != "forward")
     return rows.select("trace_id", F.row_number().over(w).alias("n"), "seg", "edge_id", entry.alias("entry"), out.alias("exit"), live.alias("live"), "budget_m")

@@ -695,7 +695,7 @@ _ANCHORS = ", ".join(
         f"ch AS (SELECT * FROM (SELECT nr.*, lag(edge_id) OVER (PARTITION BY trace_id ORDER BY seg) AS was FROM nr WHERE d <= {num(SNAP_M)}) WHERE was IS NULL OR was <> edge_id)",
         _projection_sql("p1", "ch JOIN sg USING (trace_id, seg) JOIN e USING (edge_id)", "x1", "y1", "trace_id, seg"),
         _projection_sql("p2", "ch JOIN sg USING (trace_id, seg) JOIN e USING (edge_id)", "x2", "y2", "trace_id, seg"),
-        f"a0 AS (SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY seg) AS n, seg, edge_id, CASE WHEN p2.t >= p1.t THEN a ELSE b END AS entry, CASE WHEN p2.t >= p1.t THEN b ELSE a END AS leave, travel <> CASE WHEN p2.t >= p1.t THEN 'backward' ELSE 'forward' END AS live, greatest(3e0 * {_HAV} + {num(2 * SNAP_M)}, 50e0) AS budget FROM ch JOIN sg USING (trace_id, seg) JOIN p1 USING (trace_id, seg, edge_id) JOIN p2 USING (trace_id, seg, edge_id) JOIN e USING (edge_id))",
+        f"a0 AS (SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY seg) AS n, seg, edge_id, CASE WHEN (p2.t - p1.t) * e.m >= {num(-matching.LEVEL_M)} THEN a ELSE b END AS entry, CASE WHEN (p2.t - p1.t) * e.m >= {num(-matching.LEVEL_M)} THEN b ELSE a END AS leave, travel <> CASE WHEN (p2.t - p1.t) * e.m >= {num(-matching.LEVEL_M)} THEN 'backward' ELSE 'forward' END AS live, greatest(3e0 * {_HAV} + {num(2 * SNAP_M)}, 50e0) AS budget FROM ch JOIN sg USING (trace_id, seg) JOIN p1 USING (trace_id, seg, edge_id) JOIN p2 USING (trace_id, seg, edge_id) JOIN e USING (edge_id))",
     ]
 )
 _MATCHED = ", ".join(
