@@ -267,7 +267,7 @@ _NEAR = """h AS (SELECT trace_id, pos, edge_id, round(hypot2, 4) AS distance_m F
 
 
 def _near(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    segs = bridge.edges(spark, sf_dir).select("edge_id", "lon1", "lat1", "lon2", "lat2", F.lit(0).alias("anchor"))
+    segs = stored(bridge.edges(spark, sf_dir).select("edge_id", "lon1", "lat1", "lon2", "lat2", F.lit(0).alias("anchor")), "segments")
     return spatial.nearest_edges(bridge.points(spark, sf_dir), ["trace_id", "pos"], segs, 900.0, k, digits=4)
 
 
