@@ -27,14 +27,19 @@ TASK_ROWS = 250_000
 def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item.  Where the session's shuffle partitions would hold more than
     TASK_ROWS each, routes are dealt over as many as hold that, in the one exchange by route
-    that the joins and windows need, so that a task's memory doesn't grow with the tables."""
+    that the joins and windows need, so that a task's memory doesn't grow with the tables.
+    So are orders and customers, which are too many to go to every task."""
     t = lambda n: table(spark, sf_dir, n)
     c = F.col
-    starts = t("orders").select("o_orderkey", "o_custkey").join(t("customer").select("c_custkey", "c_nationkey"), c("o_custkey") == c("c_custkey"))
+    placed, homes = t("orders").select("o_orderkey", "o_custkey"), t("customer").select("c_custkey", "c_nationkey")
     lines = t("lineitem").join(t("supplier").select("s_suppkey", "s_nationkey"), c("l_suppkey") == c("s_suppkey"))
     tasks = -(-t("lineitem").count() // TASK_ROWS)
     if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
-        starts, lines = starts.repartition(tasks, "o_orderkey"), lines.repartition(tasks, "l_orderkey")
+        placed, homes = placed.repartition(tasks, "o_custkey"), homes.repartition(tasks, "c_custkey")
+        starts = placed.join(homes, c("o_custkey") == c("c_custkey")).repartition(tasks, "o_orderkey")
+        lines = lines.repartition(tasks, "l_orderkey")
+    else:
+        starts = placed.join(homes, c("o_custkey") == c("c_custkey"))
     rows = lines.join(starts, c("l_orderkey") == c("o_orderkey"))
     seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")).cast("bigint")
     access = F.when(c("l_returnflag") == "A", "restricted").when(c("l_returnflag") == "N", "open").otherwise("unknown")
