@@ -192,20 +192,50 @@ def undominated(x: np.ndarray) -> np.ndarray:
     Rows are visited by their sum: what dominates a row has a smaller sum, so only the
     front so far need be looked at."""
     order, keep = np.lexsort((*x.T[::-1], x.sum(1))), np.zeros(len(x), bool)
-    front = np.empty((0, x.shape[1]))
+    front, n = np.empty_like(x), 0
     for i in order:
-        if len(front) and ((front <= x[i]).all(1) & (front < x[i]).any(1)).any():
+        if n and ((front[:n] <= x[i]).all(1) & (front[:n] < x[i]).any(1)).any():
             continue
         keep[i] = True
-        front = np.vstack([front, x[i]])
+        front[n] = x[i]
+        n += 1
     return keep
 
 
+def _running_fronts(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[pa.RecordBatch]:
+    """Of all rows of a task the front of each group.  Dominated rows go whenever as many new
+    ones have come as were held, so that no more than twice the fronts and a batch is held."""
+    held, new, come = None, [], 0
+
+    def fronts() -> pa.Table:
+        rows = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches(new)]).combine_chunks()
+        at: dict = {}
+        for i, g in enumerate(rows.column(group).to_pylist()):
+            at.setdefault(g, []).append(i)
+        x, keep = _columns(rows.column("o_")), np.zeros(len(rows), bool)
+        for rows_of in at.values():
+            keep[rows_of] = undominated(x[rows_of])
+        return rows.filter(pa.array(keep))
+
+    for batch in batches:
+        if batch.num_rows:
+            new.append(batch)
+            come += batch.num_rows
+        if new and come >= (len(held) if held is not None else 0):
+            held, new, come = fronts(), [], 0
+    if new:
+        held = fronts()
+    if held is not None:
+        yield from held.to_batches()
+
+
 def first_front(routes: DataFrame, bounds: Bounds, group: str, salts: int = 64) -> DataFrame:
     """Routes of each group that no other of the group dominates.
 
-    Two steps, for a group may be hot: the front of each of `salts` random parts, then the
-    front of what these leave (a route outside its part's front is outside the whole's)."""
+    Each task first keeps the fronts of its own rows, so that what is exchanged doesn't grow
+    with the rows.  Then two steps, for a group may be hot: the front of each of `salts` random
+    parts, then the front of what these leave (a route outside its part's front is outside the
+    whole's)."""
     cols = routes.columns
     rows = routes.withColumn("o_", F.array(*objectives(bounds)))
 
@@ -214,7 +244,7 @@ def first_front(routes: DataFrame, bounds: Bounds, group: str, salts: int = 64)
         return pdf.filter(pa.array(undominated(x)))
 
     salt = F.pmod(F.xxhash64("route_id"), F.lit(salts)).cast("int")
-    part = rows.withColumn("salt_", salt)
+    part = rows.mapInArrow(lambda batches: _running_fronts(batches, group), rows.schema).withColumn("salt_", salt)
     part = part.groupBy(group, "salt_").applyInArrow(front, part.schema).drop("salt_")
     return part.groupBy(group).applyInArrow(front, part.schema).select(*cols)
 
