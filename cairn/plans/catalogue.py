@@ -448,9 +448,10 @@ def exact_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def turn_legal_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     legs = bridge.legs(spark, sf_dir)
-    # Banned: turns between two edges whose ids sum to a multiple of seven.
+    # Banned: turns between two edges whose ids sum to a multiple of seven.  The turns of 25
+    # vertices are few at any scale and go to every task, so that routes stay where they are.
     bans = graph.turns(legs.select("edge_id", "from_v", "to_v").distinct()).where("(from_edge + to_edge) % 7 = 0")
-    return graph.legal_legs(legs, bans.distinct()).select("route_id", "seq", "edge_id")
+    return graph.legal_legs(legs, F.broadcast(bans.distinct())).select("route_id", "seq", "edge_id")
 
 
 @query(view("SELECT edge_id, count(DISTINCT route_id) AS n_sources, round(ln(1e0 + count(DISTINCT route_id)), 6) AS popularity FROM b_leg GROUP BY edge_id"))
@@ -629,7 +630,8 @@ def walk_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = F.transform(F.array_sort(F.collect_list(F.struct("seq", "edge_id"))), lambda x: x["edge_id"])
     routes_ = legs.groupBy(F.col("route_id").alias("walk_id")).agg(F.min("start_v").alias("start_v"), steps.alias("edges"))
     bans = edges.limit(0).select(F.col("edge_id").alias("from_edge"), F.col("a").alias("via_v"), F.col("edge_id").alias("to_edge"))
-    return walks.walked(routes_, edges, bans).select(F.col("walk_id").alias("route_id"), "end_v", F.size("legs").cast("long").alias("n_legs"))
+    # The edges of 25 vertices are few at any scale and go to every task.
+    return walks.walked(routes_, F.broadcast(edges), bans).select(F.col("walk_id").alias("route_id"), "end_v", F.size("legs").cast("long").alias("n_legs"))
 
 
 @query(view("SELECT kind, value, count(*) AS n FROM (SELECT 'terrain' AS kind, terrain AS value FROM b_leg UNION ALL SELECT 'access', access FROM b_leg) GROUP BY ALL"))
