@@ -375,14 +375,21 @@ def first_of_signature(signed: DataFrame) -> DataFrame:
 
 def overlaps(legs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(left_id, right_id, distance): 1 less the shared metres (each edge as often as both
-    have it) over the shorter route's metres.  pairs: (left_id, right_id)."""
-    edges = legs.groupBy("route_id", "edge_id").agg(F.count("*").alias("n"), F.min("m").alias("m"))
-    whole = legs.groupBy("route_id").agg(F.sum("m").alias("d"))
-    a = edges.select(F.col("route_id").alias("left_id"), "edge_id", F.col("n").alias("na"), F.col("m").alias("m"))
-    b = edges.select(F.col("route_id").alias("right_id"), "edge_id", F.col("n").alias("nb"))
-    shared = pairs.join(a, "left_id").join(b, ["right_id", "edge_id"]).groupBy("left_id", "right_id").agg(F.sum(F.col("m") * F.least("na", "nb")).alias("shared"))
-    both = pairs.join(shared, ["left_id", "right_id"], "left").join(whole.select(F.col("route_id").alias("left_id"), F.col("d").alias("da")), "left_id").join(whole.select(F.col("route_id").alias("right_id"), F.col("d").alias("db")), "right_id")
-    return both.select("left_id", "right_id", (1 - F.coalesce("shared", F.lit(0.0)) / F.greatest(F.least("da", "db"), F.lit(1.0))).alias("distance"))
+    have it) over the shorter route's metres.  pairs: (left_id, right_id).
+
+    A route's edges go with it as one row, so that the joins are by route alone and keep the
+    tasks that the legs are dealt over."""
+    c = F.col
+    edges = legs.groupBy("route_id", "edge_id").agg(F.count("*").alias("n"), F.min("m").alias("m"), F.sum("m").alias("d"))
+    entry = F.when(c("edge_id").isNotNull(), F.struct("edge_id", "n", "m"))
+    one = edges.groupBy("route_id").agg(F.array_sort(F.collect_list(entry)).alias("edges"), F.sum("d").alias("d"))
+    counts = F.map_from_entries(F.transform("edges", lambda e: F.struct(e["edge_id"], e["n"])))
+    a = one.select(c("route_id").alias("left_id"), c("edges").alias("ea"), c("d").alias("da"))
+    b = one.select(c("route_id").alias("right_id"), counts.alias("nb"), c("d").alias("db"))
+    both = pairs.join(a, "left_id").join(b, "right_id")
+    times = lambda e: F.least(e["n"], F.coalesce(F.try_element_at(c("nb"), e["edge_id"]), F.lit(0)))
+    shared = F.aggregate("ea", F.lit(0.0), lambda s, e: s + F.coalesce((e["m"] * times(e)).cast("double"), F.lit(0.0)))
+    return both.select("left_id", "right_id", (1 - shared / F.greatest(F.least("da", "db"), F.lit(1.0))).alias("distance"))
 
 
 def portfolio(ranked: DataFrame, legs: DataFrame, group: str, limit: int = 12, radii: tuple[float, ...] = (0.35, 0.20, 0.08, 0.0), batch: int = 256) -> DataFrame:
