@@ -25,16 +25,17 @@ TASK_ROWS = 250_000
 
 
 def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item.  Where the session's shuffle partitions would hold more than
-    TASK_ROWS each, routes are dealt over as many as hold that, in the one exchange by route
-    that the joins and windows need, so that a task's memory doesn't grow with the tables.
+    """One row per line item.  Where a task to each core would hold more than TASK_ROWS, routes
+    are dealt over as many tasks as hold that, in the one exchange by route that the joins and
+    windows need, so that a task's memory doesn't grow with the tables.  The session's shuffle
+    partitions don't bound it: adaptive execution makes one of several up to a size in bytes.
     So are orders and customers, which are too many to go to every task."""
     t = lambda n: table(spark, sf_dir, n)
     c = F.col
     placed, homes = t("orders").select("o_orderkey", "o_custkey"), t("customer").select("c_custkey", "c_nationkey")
     lines = t("lineitem").join(t("supplier").select("s_suppkey", "s_nationkey"), c("l_suppkey") == c("s_suppkey"))
     tasks = -(-t("lineitem").count() // TASK_ROWS)
-    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+    if tasks > min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism):
         placed, homes = placed.repartition(tasks, "o_custkey"), homes.repartition(tasks, "c_custkey")
         starts = placed.join(homes, c("o_custkey") == c("c_custkey")).repartition(tasks, "o_orderkey")
         lines = lines.repartition(tasks, "l_orderkey")
