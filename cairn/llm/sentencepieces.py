@@ -26,12 +26,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Entries of a worker's table of encoded cuts, and of compared pairs.
-KEPT = 1 << 19
+#: Entries of each half of a worker's tables of encoded cuts and of compared pairs.
+KEPT = 1 << 17
 #: Rows that are encoded at a time: bounds a worker's memory beside the incoming batch.
 SLICE = 256
 
 
+class Recent(dict):
+    """A dict of what was lately asked for: once it holds `most` entries it becomes the older
+    half and begins anew; what is found in the older half is taken over."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def __missing__(self, key):
+        known = self.older.get(key)
+        if known is not None:
+            self.keep(key, known)
+        return known
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class MergeEncoder:
     """Encoder and decoder of one SentencePiece model of the merge (BPE) type."""
 
@@ -65,7 +86,6 @@ class MergeEncoder:
         if any(a[1] == SPACE and a[0] != SPACE for a in inner):
             raise ValueError("pieces that go on over a space are not supported")
         self.inner = inner
-        self.piece = {i: p for p, i in self.id.items()}
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
@@ -78,10 +98,8 @@ class MergeEncoder:
             self.automaton.add_word(p, p)
             self.shorter[p] = next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in reachable), None)
         self.automaton.make_automaton()
-        self.right_edge = {p: self.edge(p, 1) for p in reachable}
-        self.left_edge = {p: self.edge(p, 0) for p in reachable}
-        self.cuts: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.cuts: dict[str, bytes | None] = Recent(KEPT)
+        self.pairs: dict[tuple[str, str], bool | None] = Recent(KEPT)
 
     def merged(self, text: str) -> list[str]:
         """Merge from scratch: the best-scored adjacent pair first, the leftmost of equals."""
@@ -129,15 +147,14 @@ class MergeEncoder:
         """Whether merging a + b from scratch gives a and b again: no part at a's right
         side and part at b's left side, present together, may merge before either goes."""
         key = (a, b)
-        known = self.pairs.get(key)
+        known = self.pairs[key]
         if known is None:
-            if len(self.pairs) >= KEPT:
-                self.pairs.clear()
-            known = self.pairs[key] = self.remerged(a, b)
+            known = self.remerged(a, b)
+            self.pairs.keep(key, known)
         return known
 
     def remerged(self, a: str, b: str) -> bool:
-        right, left, score = self.right_edge[a], self.left_edge[b], self.score
+        right, left, score = self.edge(a, 1), self.edge(b, 0), self.score
         if right is None or left is None:
             return self.merged(a + b) == [a, b]
         for x, made_x, gone_x in right:
@@ -186,31 +203,26 @@ class MergeEncoder:
         return array("i", ids).tobytes()
 
     def word(self, text: str) -> bytes:
-        known = self.cuts.get(text)
-        if known is not None:
-            return known
         inner, parts, start = self.inner, [], 0
         for i in range(1, len(text)):
             if text[i - 1 : i + 1] not in inner:
                 parts.append(text[start:i])
                 start = i
         parts.append(text[start:])
-        if len(self.cuts) >= KEPT:
-            self.cuts.clear()
         if len(parts) == 1:
             known = self.cut(text)
         else:
             got = []
             for p in parts:
-                ids = self.cuts.get(p)
+                ids = self.cuts[p]
                 if ids is None:
                     ids = self.cut(p)
                     if len(p) < 100:
-                        self.cuts[p] = ids
+                        self.cuts.keep(p, ids)
                 got.append(ids)
             known = b"".join(got)
         if len(text) < 100:
-            self.cuts[text] = known
+            self.cuts.keep(text, known)
         return known
 
     def encode(self, text: str) -> np.ndarray:
@@ -218,7 +230,7 @@ class MergeEncoder:
             return np.empty(0, np.int32)
         words = re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", SPACE + text.replace(" ", SPACE))
         cuts, word = self.cuts, self.word
-        return np.frombuffer(b"".join([cuts.get(w) or word(w) for w in words]), np.int32)
+        return np.frombuffer(b"".join([cuts[w] or word(w) for w in words]), np.int32)
 
     def decode(self, ids) -> str:
         """What the library's decode() returns for ids that encode() made.  Of the first

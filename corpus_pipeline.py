@@ -17,7 +17,7 @@ from cairn.llm.common import dropped, small, stored, table, unused
 from cairn.llm.jaccard import jaccard_components
 from cairn.llm.mixing import DOMAINS, copies, fitted_rates, posteriors
 from cairn.llm.quality import quality_verdicts
-from cairn.llm.queries import ARROW_ROWS, MIX
+from cairn.llm.queries import ARROW_BYTES, ARROW_ROWS, MIX
 from cairn.llm.sentencepieces import digests, encode_decode
 from cairn.llm.substrings import repeated_passages, without_passages
 
@@ -118,6 +118,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
