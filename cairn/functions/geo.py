@@ -74,6 +74,21 @@ def projection(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: C
     return F.hypot(hx + dx * t, hy + dy * t), t
 
 
+def metres_east(lat: str) -> Column:
+    """Metres of a degree of longitude, as projection() takes them."""
+    return LAT_M * F.cos(F.radians(F.col(lat)))
+
+
+def projection_steps(px: str, py: str, ax: str, ay: str, bx: str, by: str, sx: str) -> list[dict[str, Column]]:
+    """projection() of columns by name as columns to be added one dict after the other, bit for
+    bit the same: distance d_ and share t_.  sx: the column of metres_east(py)."""
+    c, dx, dy, t = F.col, F.col("dx_"), F.col("dy_"), F.col("t_")
+    ends = {"hx_": (c(ax) - c(px)) * c(sx), "hy_": (c(ay) - c(py)) * LAT_SHORT_M, "tx_": (c(bx) - c(px)) * c(sx), "ty_": (c(by) - c(py)) * LAT_SHORT_M}
+    way = {"dx_": c("tx_") - c("hx_"), "dy_": c("ty_") - c("hy_")}
+    share = F.when(c("span_") <= 2.220446049250313e-16, 0.0).otherwise(_clamp(-(c("hx_") * dx + c("hy_") * dy) / c("span_"), 0.0, 1.0))
+    return [ends, way, {"span_": dx * dx + dy * dy}, {"t_": share}, {"d_": F.hypot(c("hx_") + dx * t, c("hy_") + dy * t)}]
+
+
 def overlay_distance(p: Column, a: Column, b: Column) -> Column:
     """Metres from a point to a segment, both axes scaled alike."""
     sx = LAT_M * F.greatest(F.abs(F.cos(F.radians(p["lat"]))), F.lit(0.01))
@@ -196,9 +211,9 @@ def line_slice(line: Column, start_m: Column, end_m: Column) -> Column:
     return once(along(line), part)
 
 
-def line_projection(p: Column, line: Column) -> Column:
+def line_projection(p: Column, line: Column, metres: Column | None = None) -> Column:
     """struct (distance_m, segment, progress_m): the place of a line nearest to a point; of
-    equal ones the first."""
+    equal ones the first.  metres: along(line), where it is known."""
 
     def place(m: Column) -> Column:
         def one(s: Column, i: Column) -> Column:
@@ -207,7 +222,7 @@ def line_projection(p: Column, line: Column) -> Column:
 
         return F.array_min(F.transform(segments(line), one))
 
-    return once(along(line), place)
+    return once(along(line), place) if metres is None else place(metres)
 
 
 def on_line(p: Column, line: Column, most2: float = 1e-18) -> Column:

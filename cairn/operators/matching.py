@@ -83,8 +83,8 @@ def anchors(segments: DataFrame, near: DataFrame, edges: DataFrame, max_snap_m:
     along its edge enters it at a."""
     w = Window.partitionBy("trace_id").orderBy("seg")
     rows = segments.join(near.where(c("distance_m") <= max_snap_m), ["trace_id", "seg"]).withColumn("was", F.lag("edge_id").over(w)).where("was is null or was != edge_id")
-    rows = rows.join(edges.select("edge_id", "a", "b", F.coalesce("travel", F.lit("both")).alias("travel"), "line"), "edge_id")
-    progress = lambda k: geo.line_projection(F.struct(c(f"lon{k}").alias("lon"), c(f"lat{k}").alias("lat")), c("line"))["progress_m"]
+    rows = rows.join(edges.select("edge_id", "a", "b", F.coalesce("travel", F.lit("both")).alias("travel"), "line", geo.along(c("line")).alias("line_m")), "edge_id")
+    progress = lambda k: geo.line_projection(F.struct(c(f"lon{k}").alias("lon"), c(f"lat{k}").alias("lat")), c("line"), c("line_m"))["progress_m"]
     allowance = BUDGET_OPEN_M if max_snap_m == float("inf") else max_snap_m * SNAP_TIMES
     budget = F.greatest(geo.haversine(c("lon1"), c("lat1"), c("lon2"), c("lat2")) * BUDGET_TIMES + allowance, F.lit(BUDGET_LEAST_M))
     rows = rows.select("*", (progress(2) - progress(1) >= -LEVEL_M).alias("ahead"), budget.alias("budget_m"))

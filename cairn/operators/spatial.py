@@ -57,19 +57,20 @@ def boxed_line(df: DataFrame, side: str, line: str, size: float, dlon: Column |
 def met(a: DataFrame, b: DataFrame, size: float, x: str = "a", y: str = "b") -> DataFrame:
     """All pairs of rows of a and b (as boxed() gives them, with sides x and y) whose boxes
     meet, once each, with both rows' columns but the boxes'.  The levels that either side has
-    are a scalar of a few numbers; each row takes part at its own and at coarser ones."""
+    are a scalar of a few numbers; each row takes part at those that are the coarser one of
+    its own and any of these."""
 
     def listed(df: DataFrame, side: str, other: DataFrame, o: str) -> DataFrame:
         levels = other.agg(F.collect_set(f"{o}_l")).scalar()
         own = F.col(f"{side}_l")
-        rows = df.withColumn("v_", levels).withColumn("l_", F.explode(F.array_union(F.array(own), F.filter("v_", lambda n: n > own)))).drop("v_")
-        return rows.withColumn("c_", F.explode(cells_of_box(*[F.col(f"{side}_{k}") for k in "wsen"], size * F.pow(F.lit(2.0), "l_"))))
+        rows = df.withColumn("v_", levels).withColumn("l_", F.explode(F.array_distinct(F.transform("v_", lambda n: F.greatest(n, own))))).drop("v_").withColumn("z_", size * F.pow(F.lit(2.0), "l_"))
+        return rows.withColumn("c_", F.explode(cells_of_box(*[F.col(f"{side}_{k}") for k in "wsen"], F.col("z_"))))
 
-    both = listed(a, x, b, y).join(listed(b, y, a, x), ["l_", "c_"])
-    c, sz = F.col, size * F.pow(F.lit(2.0), F.col("l_"))
+    both = listed(a, x, b, y).join(listed(b, y, a, x).drop("z_"), ["l_", "c_"])
+    c, sz = F.col, F.col("z_")
     meet = (c(f"{x}_w") <= c(f"{y}_e")) & (c(f"{y}_w") <= c(f"{x}_e")) & (c(f"{x}_s") <= c(f"{y}_n")) & (c(f"{y}_s") <= c(f"{x}_n"))
     here = (c("l_") == F.greatest(f"{x}_l", f"{y}_l")) & (c("c_") == cell(F.greatest(f"{x}_w", f"{y}_w"), F.greatest(f"{x}_s", f"{y}_s"), sz))
-    return both.where(meet & here).drop("l_", "c_", *[f"{s}_{k}" for s in (x, y) for k in "wsenl"])
+    return both.where(meet & here).drop("l_", "c_", "z_", *[f"{s}_{k}" for s in (x, y) for k in "wsenl"])
 
 
 def in_window(points: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
@@ -100,20 +101,28 @@ def nearest_vertex(points: DataFrame, key: list[str], vertices: DataFrame, size:
 
 
 def _hits(points: DataFrame, key: list[str], edges: DataFrame, max_m: float, digits: int) -> DataFrame:
-    """points' key and lon, lat with the segments of edges within max_m, as d_ and share t_.
-    The smallest cell is as large as a point's box, so that it touches four at most."""
+    """points' key and lon, lat with the segments of edges whose box meets that of max_m
+    around the point, as d_ and share t_: those within max_m, and some beyond, which the
+    callers drop behind their first aggregate.  The smallest cell is as large as a point's
+    box, so that it touches four at most.
+
+    What geo.projection() computes stands here in columns, step by step, the point's part in
+    front of the join: as one expression, and repeated in a filter, it was a method too large
+    for the JVM to compile."""
     c = F.col
     dlat = max_m / geo.LAT_SHORT_M
     dlon = max_m / (geo.LAT_M * F.greatest(F.abs(F.cos(F.radians("lat"))), F.lit(0.01)))
     size = min(2 * dlat, 360.0)
-    a = boxed_points(points.select(*key, "lon", "lat"), "a", size, dlon, dlat)
-    d, t = geo.projection(c("lon"), c("lat"), c("lon1"), c("lat1"), c("lon2"), c("lat2"))
-    return met(a, boxed_segments(edges, "b", size), size).withColumn("d_", F.round(d, digits)).withColumn("t_", t).where(c("d_") <= max_m)
+    a = boxed_points(points.select(*key, "lon", "lat"), "a", size, dlon, dlat).withColumn("sx_", geo.metres_east("lat"))
+    rows = met(a, boxed_segments(edges, "b", size), size)
+    for columns in geo.projection_steps("lon", "lat", "lon1", "lat1", "lon2", "lat2", "sx_"):
+        rows = rows.withColumns(columns)
+    return rows.withColumn("d_", F.round("d_", digits))
 
 
 def edges_within(points: DataFrame, key: list[str], edges: DataFrame, max_m: float, digits: int = 6) -> DataFrame:
     """(key columns, edge_id, distance_m): all edges within max_m metres of each point."""
-    return _hits(points, key, edges, max_m, digits).groupBy(*key, "edge_id").agg(F.min("d_").alias("distance_m"))
+    return _hits(points, key, edges, max_m, digits).groupBy(*key, "edge_id").agg(F.min("d_").alias("distance_m")).where(F.col("distance_m") <= max_m)
 
 
 def nearest_edges(points: DataFrame, key: list[str], edges: DataFrame, max_m: float, k: int, digits: int = 6) -> DataFrame:
@@ -129,9 +138,9 @@ def nearest_edges(points: DataFrame, key: list[str], edges: DataFrame, max_m: fl
     place = F.struct(c("d_").alias("distance_m"), "anchor", "edge_id", c("t_").alias("progress"))
     hits = _hits(points, key, edges, max_m, digits)
     if k == 1:
-        best = hits.groupBy(*key).agg(F.min(place).alias("p"))
+        best = hits.groupBy(*key).agg(F.min(place).alias("p")).where(c("p.distance_m") <= max_m)
         return best.select(*key, "p.edge_id", "p.distance_m", "p.anchor", "p.progress", F.lit(1).alias("rank"))
-    one = hits.groupBy(*key, "edge_id").agg(F.min(place).alias("p"))
+    one = hits.groupBy(*key, "edge_id").agg(F.min(place).alias("p")).where(c("p.distance_m") <= max_m)
     best = one.groupBy(*key).agg(F.slice(F.array_sort(F.collect_list("p")), 1, k).alias("p"))
     return best.select(*key, F.posexplode("p").alias("i", "p")).select(*key, "p.edge_id", "p.distance_m", "p.anchor", "p.progress", (c("i") + 1).alias("rank"))
 
