@@ -255,54 +255,127 @@ def _columns(points: pa.ChunkedArray) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(points), -1)
 
 
+#: Points that are ranked together, and comparisons of these with fronts that are made at once.
+BLOCK, COMPARED = 512, 1 << 20
+#: Points for which a task of its own is worth its start.
+TASK_POINTS = 4096
+
+
 class Fronts:
-    """Rows by rank; a new row's rank is found by bisection.
-
-    What dominates a row of front f has one of front f - 1 that dominates it, so above
-    `floor`, the largest rank known from elsewhere, the fronts that hold a dominating row
-    are the lowest ones."""
-
-    def __init__(self) -> None:
-        self.rows, self.size, self.top = {}, {}, 0
-
-    def add(self, row: np.ndarray, rank: int) -> None:
-        at, have = self.size.get(rank, 0), self.rows.get(rank)
-        if have is None or at == len(have):
-            more = np.empty((max(8, at), len(row)))
-            self.rows[rank] = have = more if have is None else np.vstack([have, more])
-        have[at] = row
-        self.size[rank], self.top = at + 1, max(self.top, rank)
-
-    def above(self, row: np.ndarray, floor: int) -> int:
-        """The largest rank of a row that dominates this one (no row equals it)."""
-        low, high = floor, max(self.top, floor)
-        while low < high:
-            mid = (low + high + 1) // 2
-            if mid in self.rows and (self.rows[mid][: self.size[mid]] <= row).all(1).any():
-                low = mid
-            else:
-                high = mid - 1
-        return low
+    """Points by rank; the ranks of many new ones are found by one bisection.
+
+    What dominates a point of front f has one of front f - 1 that dominates it, so above
+    `floor`, the largest rank known from elsewhere, the fronts that hold a dominating point
+    are the lowest ones.  A front stands in one piece of a pool, with room to grow; x has a
+    row for each objective that is compared."""
+
+    def __init__(self, width: int) -> None:
+        self.x, self.used, self.top = np.empty((width, 1024)), 0, 0
+        self.start, self.size, self.room = (np.zeros(64, np.int64) for _ in range(3))
+
+    def add(self, x: np.ndarray, rank: np.ndarray) -> None:
+        if not len(rank):
+            return
+        order = np.argsort(rank, kind="stable")
+        of, first, n = np.unique(rank[order], return_index=True, return_counts=True)
+        self.top = max(self.top, int(of[-1]))
+        if self.top >= len(self.size):
+            self.start, self.size, self.room = (np.concatenate([z, np.zeros(self.top, np.int64)]) for z in (self.start, self.size, self.room))
+        more = of[self.size[of] + n > self.room[of]]
+        if len(more):
+            need = self.size[of] + n
+            room = np.where(self.size[of] > 0, 2 * need, need)[self.size[of] + n > self.room[of]]
+            at = self.used + np.cumsum(room) - room
+            self.used += int(room.sum())
+            if self.used > self.x.shape[1]:
+                self.x = np.concatenate([self.x, np.empty((len(self.x), self.used))], axis=1)
+            old = self.size[more]
+            self.x[:, _places(at, old)] = self.x[:, _places(self.start[more], old)]
+            self.start[more], self.room[more] = at, room
+        self.x[:, _places(self.start[of] + self.size[of], n)] = x[:, order]
+        self.size[of] += n
+
+    def _hit(self, x: np.ndarray, front: np.ndarray) -> np.ndarray:
+        """Whether a point of its front dominates each point (none equals it)."""
+        n, out = self.size[front], np.zeros(len(front), bool)
+        for i in np.flatnonzero(n > COMPARED // BLOCK).tolist():
+            a, left = int(self.start[front[i]]), None
+            for row, value in zip(self.x, x[:, i].tolist()):
+                left = np.flatnonzero(row[a : a + n[i]] <= value) + a if left is None else left[row[left] <= value]
+            out[i] = left is None or len(left) > 0
+        few = np.flatnonzero((n > 0) & (n <= COMPARED // BLOCK))
+        of, at = np.repeat(few, n[few]), _places(self.start[front[few]], n[few])
+        for row, values in zip(self.x, x):
+            ok = row[at] <= values[of]
+            of, at = of[ok], at[ok]
+        out[of] = True
+        return out
+
+    def above(self, x: np.ndarray, floor: np.ndarray, ends: bool = False) -> np.ndarray:
+        """The largest rank of a point that dominates each of these.  ends: most are dominated
+        by none of these fronts or by the last, so the first and the last are looked at first."""
+        out = np.empty(len(floor), np.int64)
+        for a in range(0, len(floor), BLOCK):
+            now = x[:, a : a + BLOCK]
+            low = floor[a : a + BLOCK].astype(np.int64)
+            high = np.maximum(low, self.top)
+            step = 0
+            while len(open_ := np.flatnonzero(low < high)):
+                mid = (low[open_] + high[open_] + 1) // 2
+                if ends and step < 2:
+                    mid = low[open_] + 1 if step == 0 else high[open_]
+                hit = self._hit(now[:, open_], mid)
+                low[open_[hit]], high[open_[~hit]] = mid[hit], mid[~hit] - 1
+                step += 1
+            out[a : a + BLOCK] = low
+        return out
+
+
+def _places(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of stretches of n from each start on, one after another."""
+    return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+
+
+def _compared(x: np.ndarray) -> list[int]:
+    """The columns of points in lexicographic order to compare with what comes before them:
+    those that vary, but for the first, by which they are sorted; those first that refute most."""
+    cols = np.flatnonzero((x != x[:1]).any(0)) if len(x) else np.arange(x.shape[1])
+    cols = [int(k) for k in cols if k or np.isnan(x[:, 0]).any()]
+    pairs = np.sort(np.random.default_rng(0).integers(0, max(len(x), 1), (2, 2048)), axis=0)
+    return sorted(cols, key=lambda k: (x[pairs[0], k] <= x[pairs[1], k]).mean() if len(x) else 0.0)
 
 
 def _ranked_slice(pdf: pa.Table) -> pa.Table:
-    """Ranks of a slice's points; base_ is the largest rank of an earlier slice that dominates."""
+    """Ranks of a slice's points; base_ is the largest rank of an earlier slice that dominates.
+
+    A block of points in lexicographic order is first held against the fronts of those
+    before it, then its own points against each other."""
     x, base = _columns(pdf.column("o_")), pdf.column("base_").to_numpy()
-    order, fronts, rank = np.lexsort(x.T[::-1]), Fronts(), np.zeros(len(x), np.int32)
-    varied = x[:, (x != x[0]).any(0)]
-    for i in order:
-        rank[i] = fronts.above(varied[i], int(base[i])) + 1
-        fronts.add(varied[i], int(rank[i]))
+    order, rank = np.lexsort(x.T[::-1]), np.zeros(len(x), np.int32)
+    cols = _compared(x[order])
+    sorted_, fronts = np.ascontiguousarray(x[order][:, cols].T), Fronts(len(cols))
+    for a in range(0, len(x), BLOCK):
+        now = sorted_[:, a : a + BLOCK]
+        below = np.tri(now.shape[1], k=-1, dtype=bool)
+        for row in now:
+            below &= row[None, :] <= row[:, None]
+        got = fronts.above(now, base[order[a : a + BLOCK]]) + 1
+        for i in np.flatnonzero(below.any(1)).tolist():
+            got[i] = max(got[i], got[:i][below[i, :i]].max() + 1)
+        fronts.add(now, got)
+        rank[order[a : a + BLOCK]] = got
     return pdf.select(["set_", "o_"]).append_column("rank_", pa.array(rank))
 
 
 def _dominating(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """For asked points the largest rank of a known one that dominates; known holds whole fronts."""
-    fronts, ranks = Fronts(), known.column("rank_").to_numpy()
-    for row, rank in zip(_columns(known.column("known_")), ranks):
-        fronts.add(row, int(rank))
+    """For asked points the largest rank of a known one that dominates; known holds whole
+    fronts of points that come before all asked ones."""
+    x, y, ranks = _columns(asked.column("o_")), _columns(known.column("known_")), known.column("rank_").to_numpy().astype(np.int64)
     low = int(ranks.min()) - 1 if len(ranks) else 0
-    best = np.array([fronts.above(row, low) for row in _columns(asked.column("o_"))], np.int32)
+    cols = _compared(np.concatenate([y, x]))
+    fronts = Fronts(len(cols))
+    fronts.add(np.ascontiguousarray(y[:, cols].T), ranks)
+    best = fronts.above(np.ascontiguousarray(x[:, cols].T), np.full(len(x), low), ends=True)
     return asked.select(["set_", "o_"]).append_column("base_", pa.array(np.where(best == low, 0, best).astype(np.int32)))
 
 
@@ -324,20 +397,26 @@ def _rank_slices(points: DataFrame, slice_rows: int) -> DataFrame:
     dropped(cut)
     form = points.schema.simpleString()[len("struct<") : -1]
     written: list[DataFrame] = []
-    for k in range(1, (cut_rows.agg(F.max("slice_")).first()[0] or 1) + 1):
+    # As many tasks as follow the sets and the rows: adaptive execution, which goes by bytes,
+    # would put many sets into one.
+    sizes = cut_rows.groupBy("slice_", "set_").count().groupBy("slice_").agg(F.count("*").alias("sets"), F.sum("count").alias("rows")).collect()
+    tasks = {x["slice_"]: max(1, min(2 * x["sets"], x["rows"] // TASK_POINTS)) for x in sizes}
+    for k in range(1, max(tasks, default=1) + 1):
         now = cut_rows.where(c("slice_") == k).drop("slice_")
+        many = tasks.get(k, 1)
         if written:
             done = reduce(DataFrame.unionByName, written).join(now.select("set_").distinct(), "set_", "left_semi")
             before = F.sum("count").over(Window.partitionBy("set_").orderBy("rank_").rowsBetween(Window.unboundedPreceding, -1))
             chunks = done.groupBy("set_", "rank_").count().select("set_", "rank_", F.floor(F.coalesce(before, F.lit(0)) / slice_rows).alias("chunk_"))
             chunks = stored(chunks, "chunks")
-            asked = now.join(chunks.select("set_", c("chunk_").alias("of_")).distinct(), "set_").groupBy("set_", "of_")
+            asked = now.join(chunks.select("set_", c("chunk_").alias("of_")).distinct(), "set_")
             known = done.join(chunks, ["set_", "rank_"]).select(c("set_").alias("known_set_"), c("chunk_").alias("known_of_"), c("o_").alias("known_"), "rank_")
-            base = asked.cogroup(known.groupBy("known_set_", "known_of_")).applyInArrow(_dominating, f"{form}, base_ int")
+            asked, known = asked.repartition(many * (k - 1), "set_", "of_"), known.repartition(many * (k - 1), "known_set_", "known_of_")
+            base = asked.groupBy("set_", "of_").cogroup(known.groupBy("known_set_", "known_of_")).applyInArrow(_dominating, f"{form}, base_ int")
             now = base.groupBy("set_", "o_").agg(F.max("base_").alias("base_"))
         else:
             now = now.withColumn("base_", F.lit(0))
-        written.append(stored(now.groupBy("set_").applyInArrow(_ranked_slice, f"{form}, rank_ int"), "ranks"))
+        written.append(stored(now.repartition(many, "set_").groupBy("set_").applyInArrow(_ranked_slice, f"{form}, rank_ int"), "ranks"))
         if k > 1:
             dropped(chunks)
     dropped(cut_rows)
@@ -352,8 +431,10 @@ def pareto_ranks(routes: DataFrame, bounds: Bounds, group: str, slice_rows: int
     good = F.coalesce("satisfied", F.lit(False))
     rows = stored(routes.withColumn("o_", F.array(*objectives(bounds))).withColumn("set_", F.struct(F.struct(group).alias("group"), good.alias("good"))), "routes")
     ranks = _rank_slices(rows.select("set_", "o_").distinct(), slice_rows)
+    # A hash goes first, by which rows sort faster than by lists.
+    rows, ranks = (x.withColumn("h_", F.xxhash64("set_", "o_")) for x in (rows, ranks))
     tops = ranks.where("set_.good").groupBy(c("set_.group").alias("group_")).agg(F.max("rank_").alias("top_"))
-    both = rows.join(ranks, ["set_", "o_"]).withColumn("group_", c("set_.group")).join(tops, "group_", "left")
+    both = rows.join(ranks, ["h_", "set_", "o_"]).withColumn("group_", c("set_.group")).join(tops, "group_", "left")
     return both.select(*cols, (c("rank_") + F.when(c("set_.good"), 0).otherwise(F.coalesce("top_", F.lit(0)))).alias("pareto_rank"))
 
 
