@@ -5,7 +5,7 @@ access, terrain); a route is its legs in order of seq."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -22,6 +22,8 @@ from cairn.state import dropped, stored
 ROAD_WEIGHT, DOUBT_WEIGHT, ACCESS_WEIGHT = 0.70, 0.25, 0.50
 LOW_CONFIDENCE = 0.6
 BINS = [("flat_m", 0.0, 0.05), ("rolling_m", 0.05, 0.15), ("steep_m", 0.15, 0.30), ("savage_m", 0.30, float("inf"))]
+#: What ranks and portfolios take of a route beside its id, verdict and group.
+RANKED = ("penalty", "score", "distance_m", "ascent_m", "descent_m", "load_km", "moving_time_s", "quality", "restricted_fraction", "repeated_fraction")
 SHAPES = ["open", "out-and-back", "figure-eight", "loop"]
 
 
@@ -482,14 +484,50 @@ def portfolio(ranked: DataFrame, legs: DataFrame, group: str, limit: int = 12, r
     so far, and picks among these.  What it passes over is too near to a pick, so the next
     round need not know where this one ended; rounds go on until no group has more."""
     c = F.col
+    items = stored(_with_edges(ranked.select(group, "route_id", "satisfied", "pareto_rank", "score", "distance_m"), legs, group), "items")
+    few = stored(items.groupBy("set_").count().withColumn("few_", c("count") <= limit).drop("count"), "groups")
+    small = items.join(few.where("few_"), "set_")
+    return _greedy(small, few.where("not few_").select("set_"), lambda tier, going: items.where(c("satisfied") == tier), group, limit, radii, batch)
+
+
+def diverse(routes: DataFrame, legs_of: Callable[[DataFrame], DataFrame], bounds: Bounds, group: str, limit: int = 12, radii: tuple[float, ...] = (0.35, 0.20, 0.08, 0.0), batch: int = 256) -> DataFrame:
+    """portfolio() of pareto_ranks() of routes that all have legs; legs_of gives the legs of a
+    table of route_ids.
+
+    Satisfied routes come first in rank and order, and the others' ranks among themselves
+    don't depend on them.  So these are ranked, and their edges read, in those groups only
+    that the satisfied ones leave open."""
+    c = F.col
+    measures = [x for x in routes.columns if x in RANKED]
+    rows = stored(routes.select("route_id", "satisfied", *measures, group).withColumn("set_", F.struct(group)), "routes")
+    few = stored(rows.groupBy("set_").count().withColumn("few_", c("count") <= limit).drop("count"), "groups")
+
+    def ranked(some: DataFrame) -> DataFrame:
+        return pareto_ranks(some.drop("set_"), bounds, group).select(group, "route_id", "satisfied", "pareto_rank", "score", "distance_m")
+
+    def of_tier(tier: bool, going: DataFrame) -> DataFrame:
+        good = c("satisfied") if tier else ~F.coalesce("satisfied", F.lit(False))
+        order = stored(ranked(rows.where(good).join(going, "set_", "left_semi")).where(c("satisfied") == tier), "ranked")
+        return stored(_with_edges(order, legs_of(order.select("route_id")), group), "items")
+
+    small = ranked(rows.join(few.where("few_").select("set_"), "set_", "left_semi")).withColumn("set_", F.struct(group))
+    return _greedy(small, few.where("not few_").select("set_"), of_tier, group, limit, radii, batch)
+
+
+def _with_edges(routes: DataFrame, legs: DataFrame, group: str) -> DataFrame:
+    """routes that have legs, with the list of their edges and set_, their group."""
     counts = legs.groupBy("route_id", "edge_id").agg(F.count("*").alias("n"), F.min("m").alias("m"))
     edges = counts.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("edge_id", "n", "m"))).alias("edges"))
-    items = stored(ranked.select(group, "route_id", "satisfied", "pareto_rank", "score", "distance_m").join(edges, "route_id").withColumn("set_", F.struct(group)), "items")
+    return routes.join(edges, "route_id").withColumn("set_", F.struct(group))
+
+
+def _greedy(small: DataFrame, large: DataFrame, of_tier: Callable[[bool, DataFrame], DataFrame], group: str, limit: int, radii: tuple[float, ...], batch: int) -> DataFrame:
+    """What portfolio() gives: small are the routes of groups of `limit` at most, large the other
+    groups (set_), of_tier gives a tier's routes with edges, of these groups at least."""
+    c = F.col
     final = [F.coalesce("satisfied", F.lit(False)).desc(), "pareto_rank", "score", "route_id"]
-    few = items.groupBy("set_").count().withColumn("few_", c("count") <= limit).drop("count")
-    few = stored(few, "groups")
-    small = items.join(few.where("few_"), "set_").select("set_", "route_id", (F.row_number().over(Window.partitionBy("set_").orderBy(*final)) - 1).alias("pick"))
-    form = items.select("set_", "route_id", "distance_m", "edges").schema.simpleString()[len("struct<") : -1]
+    small = small.select("set_", "route_id", (F.row_number().over(Window.partitionBy("set_").orderBy(*final)) - 1).alias("pick"))
+    fields = ["set_", "route_id", "distance_m", "edges"]
 
     def choose(radius: float):
         def away(a: dict, b: dict) -> float:
@@ -506,23 +544,27 @@ def portfolio(ranked: DataFrame, legs: DataFrame, group: str, limit: int = 12, r
                 if len(chosen) < limit and all(away(r, x) >= radius for x in chosen):
                     new.append(r | {"pick": len(chosen)})
                     chosen.append(r)
-            names = ["set_", "route_id", "distance_m", "edges"]
-            return pa.Table.from_pylist([{k: r[k] for k in [*names, "pick"]} for r in new], schema=pa.schema([*[near.schema.field(k) for k in names], ("pick", pa.int32())]))
+            return pa.Table.from_pylist([{k: r[k] for k in [*fields, "pick"]} for r in new], schema=pa.schema([*[near.schema.field(k) for k in fields], ("pick", pa.int32())]))
 
         return of
 
-    none = stored(items.select("set_", "route_id", "distance_m", "edges", F.lit(0).alias("pick")).where("false"), "picks")
-    picks = [none]
-    left = stored(few.where("not few_").select("set_"), "open")
+    picks: list[DataFrame] = []
+    left = stored(large, "open")
     shared = lambda e, x: e["m"] * F.least(e["n"], F.coalesce(F.try_element_at(x["counts"], e["edge_id"]), F.lit(0)))
     for tier in (True, False):
+        if left.isEmpty():
+            break
+        items = of_tier(tier, left)
+        if not picks:
+            form = items.select(*fields).schema.simpleString()[len("struct<") : -1]
+            picks.append(stored(items.select(*fields, F.lit(0).alias("pick")).where("false"), "picks"))
         for radius in radii:
             going = left
             while not going.isEmpty():
                 picked = reduce(DataFrame.unionByName, picks)
                 counted = F.map_from_entries(F.transform("edges", lambda e: F.struct(e["edge_id"], e["n"])))
                 by = picked.groupBy("set_").agg(F.collect_list(F.struct("route_id", "distance_m", counted.alias("counts"))).alias("picked_"))
-                pool = items.where(c("satisfied") == tier).join(going, "set_", "left_semi").join(by, "set_", "left")
+                pool = items.join(going, "set_", "left_semi").join(by, "set_", "left")
                 apart = lambda x: (x["route_id"] != c("route_id")) & (1 - F.aggregate("edges", F.lit(0.0), lambda s, e: s + shared(e, x)) / F.greatest(F.lit(1.0), F.least("distance_m", x["distance_m"])) >= radius)
                 pool = pool.where(F.coalesce(F.forall("picked_", apart), F.lit(True))).drop("picked_")
                 near = stored(pool.withColumn("nth_", F.row_number().over(Window.partitionBy("set_").orderBy("pareto_rank", "score", "route_id"))).where(c("nth_") <= batch), "near")
@@ -532,7 +574,7 @@ def portfolio(ranked: DataFrame, legs: DataFrame, group: str, limit: int = 12, r
                 left = stored(left.join(full, "set_", "left_anti"), "open")
                 going = stored(near.groupBy("set_").count().where(c("count") == batch).select("set_").join(left, "set_", "left_semi"), "going")
                 dropped(near)
-    whole = small.unionByName(reduce(DataFrame.unionByName, picks).select("set_", "route_id", "pick"))
+    whole = reduce(DataFrame.unionByName, [small, *(x.select("set_", "route_id", "pick") for x in picks)])
     return whole.select(c("set_")[group].alias(group), "route_id", "pick")
 
 

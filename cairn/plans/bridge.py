@@ -24,8 +24,8 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 TASK_ROWS = 250_000
 
 
-def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item.  Where a task to each core would hold more than TASK_ROWS, routes
+def hops(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """One row per line item, of all routes or of those whose route_id `only` has.  Where a task to each core would hold more than TASK_ROWS, routes
     are dealt over as many tasks as hold that, in the one exchange by route that the joins and
     windows need, so that a task's memory doesn't grow with the tables.  The session's shuffle
     partitions don't bound it: adaptive execution makes one of several up to a size in bytes.
@@ -33,7 +33,11 @@ def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     c = F.col
     placed, homes = t("orders").select("o_orderkey", "o_custkey"), t("customer").select("c_custkey", "c_nationkey")
-    lines = t("lineitem").join(t("supplier").select("s_suppkey", "s_nationkey"), c("l_suppkey") == c("s_suppkey"))
+    bought = t("lineitem")
+    if only is not None:
+        placed = placed.join(only.select(c("route_id").alias("o_orderkey")), "o_orderkey", "left_semi")
+        bought = bought.join(only.select(c("route_id").alias("l_orderkey")), "l_orderkey", "left_semi")
+    lines = bought.join(t("supplier").select("s_suppkey", "s_nationkey"), c("l_suppkey") == c("s_suppkey"))
     tasks = -(-t("lineitem").count() // TASK_ROWS)
     if tasks > min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism):
         placed, homes = placed.repartition(tasks, "o_custkey"), homes.repartition(tasks, "c_custkey")
@@ -50,10 +54,10 @@ def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Legs as operators.routes takes them; hops that stay in place are none.  The vertices
+def legs(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Legs as operators.routes takes them, of all routes or of those of `only`; hops that stay in place are none.  The vertices
     are a nation each, 25 at any scale, and go to every task."""
-    h = hops(spark, sf_dir)
+    h = hops(spark, sf_dir, only)
     before = F.coalesce(F.lag("to_v").over(Window.partitionBy("route_id").orderBy("seq")), F.col("start_v"))
     v = vertices(spark, sf_dir)
     end = lambda k, at: F.broadcast(v.select(F.col("v").alias(at), F.col("lon").alias(f"lon{k}"), F.col("lat").alias(f"lat{k}"), F.col("ele").alias(f"e{k}")))

@@ -129,9 +129,7 @@ def constraint_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judged routes whose objectives are rounded, so that ties are ties in any engine."""
     j = routes.judged(_measured(spark, sf_dir), BOUNDS)
-    for c in ("penalty", "score", "distance_m", "ascent_m", "descent_m", "load_km", "moving_time_s", "quality", "restricted_fraction", "repeated_fraction"):
-        j = j.withColumn(c, r(c, 6))
-    return j
+    return j.select("route_id", "start_v", "satisfied", *[r(c, 6).alias(c) for c in routes.RANKED])
 
 
 def _deviation(c: str, low: float, high: float) -> str:
@@ -160,8 +158,7 @@ def pareto_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def portfolio_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = routes.pareto_ranks(_rounded(spark, sf_dir), BOUNDS, "start_v")
-    return routes.portfolio(ranked, bridge.legs(spark, sf_dir), "start_v")
+    return routes.diverse(_rounded(spark, sf_dir), lambda ids: bridge.legs(spark, sf_dir, ids), BOUNDS, "start_v")
 
 
 @query(view("SELECT min(route_id) AS route_id, shape, count(*) AS n_routes FROM (SELECT route_id, shape, string_agg(edge_id || 'x' || n, ',' ORDER BY edge_id) AS sig FROM (SELECT route_id, edge_id, count(*) AS n FROM b_leg GROUP BY ALL) JOIN s USING (route_id) GROUP BY ALL) GROUP BY shape, sig", SHAPES))
